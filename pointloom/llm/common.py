@@ -7,9 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import pointloom
+
+# Functions of this package travel to the executors by value: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(pointloom)
+
 #: White space of every contract here: the ASCII blank and the five ASCII controls 0x09-0x0D.
 WS = r"[\x20\x09-\x0D]+"
 #: Rows handed to a Python function at once; bounds a worker's memory on ordinary rows.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import exact_dedup, language, quality, simhash
+from pointloom.llm import decontaminate, exact_dedup, language, mixing, quality, simhash
 from pointloom.llm.common import read
 
 
@@ -24,11 +24,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.nearest_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_mix": op10_mix,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
