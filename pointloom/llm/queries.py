@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, exact_dedup, language, mixing, quality, simhash
+from pointloom.llm import decontaminate, exact_dedup, html_text, language, mixing, quality, simhash
 from pointloom.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_html_text": op4_html_text,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
