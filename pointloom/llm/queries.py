@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, exact_dedup, html_text, language, mixing, quality, simhash
+from pointloom.llm import decontaminate, exact_dedup, html_text, language, mixing, personal_data, quality, simhash
 from pointloom.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_html_text": op4_html_text,
+    "op5_personal_data": op5_personal_data,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
