@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, exact_dedup, html_text, language, mixing, personal_data, quality, simhash
+from pointloom.llm import decontaminate, exact_dedup, html_text, language, mixing, personal_data, quality, secret_scan, simhash
 from pointloom.llm.common import read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op4_html_text": op4_html_text,
     "op5_personal_data": op5_personal_data,
