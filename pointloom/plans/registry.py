@@ -1,16 +1,348 @@
-"""Registered point-engine queries and their oracle SQL."""
+"""Registered point-engine queries with their oracle SQL.
+
+Point views: ``part`` points (x = retail price, y = size) and ``orders`` points (x, y spread over the
+globe by the order key).  The index of the orders points is built once per session and folder.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pointloom.functions import geometry as G
+from pointloom.functions import zorder
+from pointloom.operators import changes, maintenance, search, skyline
+from pointloom.plans.index import PointIndex, leaf_of, rectangle_join
+from pointloom.plans.storage import number_rows
+from pointloom.sources import points as P
+
+AREA = ((-30.0, 20.0), (0.0, 60.0))
+AT = (10.0, 20.0)
+K = 25
+#: Small node size of the registered index, so that the test tables give several levels.
+MOST, FILL = 100, 0.85
+CAP, LEAST = 85, 40
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.points(_read(spark, sf_dir, "part"), "p_partkey", "p_retailprice", F.col("p_size"), "p_name")
+
+
+def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("long")
+    lat = (key * 7919 % 1800001).cast("double") / F.lit(10000.0) - F.lit(90.0)
+    lon = (key * 104729 % 3600001).cast("double") / F.lit(10000.0) - F.lit(180.0)
+    return P.points(_read(spark, sf_dir, "orders"), key, lat, lon, "o_orderpriority")
+
+
+_BUILT: dict[tuple[str, str], PointIndex] = {}
+
+
+def order_index(spark: SparkSession, sf_dir: str) -> PointIndex:
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _BUILT:
+        _BUILT[at] = PointIndex.build(order_points(spark, sf_dir), MOST, FILL)
+    return _BUILT[at]
+
+
+def areas(spark: SparkSession) -> DataFrame:
+    rows = [(i, -90.0 + 20 * i, -60.0 + 25 * i, -180.0 + 37 * i, -100.0 + 30 * i) for i in range(9)]
+    return spark.createDataFrame(rows, "area_id long, x_min double, x_max double, y_min double, y_max double")
 
 
-def flagship(spark, sf_dir):
+def queries_table(spark: SparkSession) -> DataFrame:
+    rows = [(i, -80.0 + 17 * i, -170.0 + 35 * i) for i in range(10)]
+    return spark.createDataFrame(rows, "qid long, qx double, qy double")
+
+
+def entries_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overfull leaves for the split: customers of each of a few nations."""
+    c = _read(spark, sf_dir, "customer").filter("c_nationkey < 5")
+    x, y = F.col("c_acctbal").cast("double"), (F.col("c_custkey") * 37 % 1000).cast("double")
+    rows = c.select(F.col("c_nationkey").cast("long").alias("node_id"), F.col("c_custkey").cast("long").alias("id"), x.alias("x"), y.alias("y"))
+    return rows.select("node_id", "id", F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of ``part`` inside a closed rectangle."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    x, y = F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")
-    points = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), x.alias("x"), y.alias("y"))
-    return points.filter(F.col("x").between(900, 910) & F.col("y").between(1, 25))
+    return search.range_query(part_points(spark, sf_dir), ((900, 910), (1, 25)))
+
+
+def range_query(spark, sf_dir):
+    return search.range_query(order_points(spark, sf_dir), AREA)
+
+
+def range_query_part(spark, sf_dir):
+    return search.range_query(part_points(spark, sf_dir), ((910, 960), (5, 30)))
+
+
+def range_query_indexed(spark, sf_dir):
+    return order_index(spark, sf_dir).range_query(AREA)
+
+
+def range_join(spark, sf_dir):
+    return search.range_join(order_points(spark, sf_dir), areas(spark))
+
+
+def point_lookup(spark, sf_dir):
+    return search.lookup(part_points(spark, sf_dir), 77)
+
+
+def exact_match(spark, sf_dir):
+    return search.exact_match(part_points(spark, sf_dir), (901.0, 10.0))
+
+
+def knn(spark, sf_dir):
+    return search.knn(order_points(spark, sf_dir), AT, K)
+
+
+def knn_ties(spark, sf_dir):
+    return search.knn(part_points(spark, sf_dir), (910.0, 20.0), 40)
+
+
+def knn_indexed(spark, sf_dir):
+    return order_index(spark, sf_dir).knn(AT, K)
+
+
+def knn_join(spark, sf_dir):
+    return order_index(spark, sf_dir).knn_join(queries_table(spark), 7)
+
+
+def skyline_2d(spark, sf_dir):
+    return skyline.skyline_2d(part_points(spark, sf_dir))
+
+
+def skyline_indexed(spark, sf_dir):
+    return order_index(spark, sf_dir).skyline()
+
+
+def skyline_3d(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
+    return skyline.skyline(rows, ("l_quantity", "l_extendedprice", "l_discount"))
+
+
+def dominated_points(spark, sf_dir):
+    some = part_points(spark, sf_dir)
+    return skyline.dominated_by_any(some, some.filter("id % 10 = 3")).select("id", "x", "y")
+
+
+def mindist_origin(spark, sf_dir):
+    return search.mindist_to_origin(_nation_rectangles(spark, sf_dir)).select("node_id", "mindist")
+
+
+def _nation_rectangles(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("node_id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y"))
+    return maintenance.bounding_rectangles(c.filter("x > 0"), "node_id")
+
+
+def node_rectangles(spark, sf_dir):
+    return _nation_rectangles(spark, sf_dir)
+
+
+def root_rectangle(spark, sf_dir):
+    return order_index(spark, sf_dir).meta().select("points", "num_leaves", "height", "x_min", "x_max", "y_min", "y_max")
+
+
+def page_layout(spark, sf_dir):
+    return P.page_layout(part_points(spark, sf_dir)).select("id", "block_id", "record_id")
+
+
+def page_fetch(spark, sf_dir):
+    paged = P.page_layout(part_points(spark, sf_dir), 50)
+    wanted = spark.createDataFrame([(0, 7), (1, 0), (2, 49), (3, 50)], "block_id long, record_id long")
+    return P.fetch(paged, wanted).select("block_id", "record_id", "id", "name", "x", "y")
+
+
+def page_statistics(spark, sf_dir):
+    return P.page_statistics(P.page_layout(part_points(spark, sf_dir), 150))
+
+
+def z_value(spark, sf_dir):
+    p = part_points(spark, sf_dir).select("id", (F.col("x") / 10).alias("x"), F.col("y"))
+    return p.select("id", zorder.raw_z([F.col("x"), F.col("y")]).alias("z"))
+
+
+def z_scaled(spark, sf_dir):
+    return order_index(spark, sf_dir).layout.select("id", "z")
+
+
+def leaf_layout(spark, sf_dir):
+    return order_index(spark, sf_dir).layout.select("id", "leaf_id")
+
+
+def leaf_rectangles(spark, sf_dir):
+    return order_index(spark, sf_dir).nodes.filter("level = 0").select("node_id", "n", "x_min", "x_max", "y_min", "y_max")
+
+
+def upper_rectangles(spark, sf_dir):
+    return order_index(spark, sf_dir).nodes.filter("level = 1").select("node_id", "n", "points", "x_min", "x_max", "y_min", "y_max")
+
+
+def level_statistics(spark, sf_dir):
+    return order_index(spark, sf_dir).level_statistics().filter("level = 0").select("level", "nodes", "entries", "fewest", "largest")
+
+
+def tail_rebalance(spark, sf_dir):
+    rows = number_rows(part_points(spark, sf_dir), ["id"], "rank")
+    leaf = leaf_of(F.col("rank"), rows.count(), 166, 141, 66)
+    return rows.groupBy(leaf.alias("leaf_id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+def node_intersections(spark, sf_dir):
+    r = _nation_rectangles(spark, sf_dir).withColumnRenamed("node_id", "area_id")
+    return rectangle_join(r.filter("area_id < 12"), r).filter("a < b")
+
+
+def choose_subtree(spark, sf_dir):
+    new = part_points(spark, sf_dir).select("id", (F.col("x") * 9 - 8000).alias("x"), (F.col("y") * 20).alias("y"))
+    return maintenance.choose_subtree(new, _nation_rectangles(spark, sf_dir))
+
+
+def split_choice(spark, sf_dir):
+    return maintenance.split(entries_of_node(spark, sf_dir), 4).select("node_id", "axis", "cut").distinct()
+
+
+def split_sides(spark, sf_dir):
+    return maintenance.split(entries_of_node(spark, sf_dir), 4).select("node_id", "id", "side")
+
+
+def forced_reinsert(spark, sf_dir):
+    return maintenance.forced_reinsert(entries_of_node(spark, sf_dir)).select("node_id", "id", "dist")
+
+
+def insert_points(spark, sf_dir):
+    return changes.insert(part_points(spark, sf_dir), order_points(spark, sf_dir).filter("id < 500"))
+
+
+def delete_points(spark, sf_dir):
+    p = part_points(spark, sf_dir)
+    keys = p.filter("id % 3 = 0").select("id", "x", F.when(F.col("id") % 2 == 0, F.col("y")).otherwise(F.col("y") + 1).alias("y"))
+    return changes.delete(p, keys)
+
+
+def deleted_points(spark, sf_dir):
+    p = part_points(spark, sf_dir)
+    keys = p.filter("id % 3 = 0").select("id", "x", F.when(F.col("id") % 2 == 0, F.col("y")).otherwise(F.col("y") + 1).alias("y"))
+    return changes.deleted(p, keys).agg(F.count(F.lit(1)).alias("n_deleted"))
+
+
+def name_labels(spark, sf_dir):
+    return part_points(spark, sf_dir).select("id", P.label_of(F.col("id")).alias("name"))
+
+
+def stored_names(spark, sf_dir):
+    return part_points(spark, sf_dir).select("id", P.stored_name(F.concat("name", F.lit(" with a longer tail"))).alias("name"))
+
+
+def rectangle_measures(spark, sf_dir):
+    r = _nation_rectangles(spark, sf_dir)
+    low, high = [F.col("x_min"), F.col("y_min")], [F.col("x_max"), F.col("y_max")]
+    mid = G.centre(low, high)
+    return r.select("node_id", G.area(low, high).alias("area"), G.margin(low, high).alias("margin"), G.overlap(low, high, (0, 0), (5000, 500)).alias("overlap"), mid[0].alias("centre_x"), mid[1].alias("centre_y"), G.maxdist(low, high, (0, 0)).alias("maxdist"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        range_query, range_query_part, range_query_indexed, range_join, point_lookup, exact_match, knn, knn_ties, knn_indexed, knn_join, skyline_2d, skyline_indexed,
+        skyline_3d, dominated_points, mindist_origin, node_rectangles, root_rectangle, page_layout, page_fetch, page_statistics, z_value, z_scaled, leaf_layout,
+        leaf_rectangles, upper_rectangles, level_statistics, tail_rebalance, node_intersections, choose_subtree, split_choice, split_sides, forced_reinsert,
+        insert_points, delete_points, deleted_points, name_labels, stored_names, rectangle_measures,
+    )
+}
+
+# ---- oracle SQL --------------------------------------------------------------------------------
+
+_Q = """Q AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_retailprice AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part)"""
+_P = """P AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderpriority AS name,
+  CAST((CAST(o_orderkey AS BIGINT) * 7919) % 1800001 AS DOUBLE) / CAST(10000 AS DOUBLE) - CAST(90 AS DOUBLE) AS x,
+  CAST((CAST(o_orderkey AS BIGINT) * 104729) % 3600001 AS DOUBLE) / CAST(10000 AS DOUBLE) - CAST(180 AS DOUBLE) AS y FROM orders)"""
+_DIST = "sqrt((x - CAST({0} AS DOUBLE)) * (x - CAST({0} AS DOUBLE)) + (y - CAST({1} AS DOUBLE)) * (y - CAST({1} AS DOUBLE)))"
+
+
+def _morton(a: str, b: str) -> str:
+    """Bits of a at even places, of b at odd ones, spelled out."""
+    even = " | ".join(f"((({a} >> {i}) & 1) << {2 * i})" for i in range(31))
+    odd = " | ".join(f"((({b} >> {i}) & 1) << {2 * i + 1})" for i in range(31))
+    return f"({even} | {odd})"
+
+
+_Z = f"""{_P}, E AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM P),
+I AS (SELECT id, name, x, y, CAST(trunc((x - x0) / (x1 - x0) * CAST(2147483647 AS DOUBLE)) AS BIGINT) AS a, CAST(trunc((y - y0) / (y1 - y0) * CAST(2147483647 AS DOUBLE)) AS BIGINT) AS b FROM P, E),
+Z AS (SELECT id, name, x, y, {_morton("a", "b")} AS z FROM I),
+R AS (SELECT *, row_number() OVER (ORDER BY z, id) - 1 AS rank, count(*) OVER () AS total FROM Z),
+H AS (SELECT *, CASE WHEN total > {CAP} AND total % {CAP} > 0 AND total % {CAP} < {LEAST} THEN (total + {CAP} - 1) // {CAP} ELSE 0 END AS leaves FROM R),
+L AS (SELECT *, CAST(CASE WHEN leaves = 0 THEN rank // {CAP}
+  WHEN rank < (total % leaves) * (total // leaves + 1) THEN rank // (total // leaves + 1)
+  ELSE (total % leaves) + (rank - (total % leaves) * (total // leaves + 1)) // (total // leaves) END AS BIGINT) AS leaf_id FROM H),
+N AS (SELECT leaf_id AS node_id, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM L GROUP BY leaf_id)"""
+_AREAS = "A AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {-90.0 + 20 * i}, {-60.0 + 25 * i}, {-180.0 + 37 * i}, {-100.0 + 30 * i})" for i in range(9)) + ") AS t(area_id, x_min, x_max, y_min, y_max))"
+_QUERIES = "S AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {-80.0 + 17 * i}, {-170.0 + 35 * i})" for i in range(10)) + ") AS t(qid, qx, qy))"
+_NATION = """C AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_custkey % 1000 AS DOUBLE) AS y FROM customer WHERE c_acctbal > 0),
+B AS (SELECT node_id, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM C GROUP BY node_id)"""
+_SPLIT = """D AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST((CAST(c_custkey AS BIGINT) * 37) % 1000 AS DOUBLE) AS y FROM customer WHERE c_nationkey < 5),
+T AS (SELECT node_id, id, x, y, 0 AS axis, x AS lo FROM D UNION ALL SELECT node_id, id, x, y, 1 AS axis, y AS lo FROM D),
+U AS (SELECT node_id, axis, id, row_number() OVER (PARTITION BY node_id, axis ORDER BY lo, id) AS rank, count(*) OVER (PARTITION BY node_id, axis) AS total,
+  min(x) OVER a AS ax0, max(x) OVER a AS ax1, min(y) OVER a AS ay0, max(y) OVER a AS ay1, min(x) OVER b AS bx0, max(x) OVER b AS bx1, min(y) OVER b AS by0, max(y) OVER b AS by1
+  FROM T WINDOW a AS (PARTITION BY node_id, axis ORDER BY lo, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  b AS (PARTITION BY node_id, axis ORDER BY lo, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+V AS (SELECT node_id, axis, rank AS cut, (ax1 - ax0) + (ay1 - ay0) + ((bx1 - bx0) + (by1 - by0)) AS margin,
+  greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) AS overlap,
+  (ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) AS area FROM U WHERE rank >= 4 AND rank <= total - 4),
+X AS (SELECT node_id, axis, sum(margin) AS margin FROM V GROUP BY node_id, axis),
+Y AS (SELECT node_id, axis FROM (SELECT node_id, axis, row_number() OVER (PARTITION BY node_id ORDER BY margin, axis) AS r FROM X) WHERE r = 1),
+W AS (SELECT node_id, axis, cut FROM (SELECT V.*, row_number() OVER (PARTITION BY V.node_id ORDER BY overlap, area, cut) AS r FROM V JOIN Y ON V.node_id = Y.node_id AND V.axis = Y.axis) WHERE r = 1)"""
+
+
+def _box(p: str, area) -> str:
+    (a, b), (c, d) = area
+    return f"{p}x BETWEEN {a} AND {b} AND {p}y BETWEEN {c} AND {d}"
+
+
+_KEYS = "K AS (SELECT id, x, CASE WHEN id % 2 = 0 THEN y ELSE y + 1 END AS y FROM Q WHERE id % 3 = 0)"
+_3D = "l_quantity, l_extendedprice, l_discount"
+
+ORACLES = {
+    "range_query": f"WITH {_P} SELECT id, name, x, y FROM P WHERE {_box('', AREA)}",
+    "range_query_part": f"WITH {_Q} SELECT id, name, x, y FROM Q WHERE x BETWEEN 910 AND 960 AND y BETWEEN 5 AND 30",
+    "range_query_indexed": f"WITH {_P} SELECT id, name, x, y FROM P WHERE {_box('', AREA)}",
+    "range_join": f"WITH {_P}, {_AREAS} SELECT CAST(area_id AS BIGINT) AS area_id, id, name, x, y FROM P JOIN A ON x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max",
+    "point_lookup": f"WITH {_Q} SELECT id, name, x, y FROM Q WHERE id = 77",
+    "exact_match": f"WITH {_Q} SELECT id, name, x, y FROM Q WHERE x = 901 AND y = 10",
+    "knn": f"WITH {_P} SELECT id, name, x, y, {_DIST.format(*AT)} AS dist FROM P ORDER BY dist, id LIMIT {K}",
+    "knn_ties": f"WITH {_Q} SELECT id, name, x, y, {_DIST.format(910, 20)} AS dist FROM Q ORDER BY dist, id LIMIT 40",
+    "knn_indexed": f"WITH {_P} SELECT id, name, x, y, {_DIST.format(*AT)} AS dist FROM P ORDER BY dist, id LIMIT {K}",
+    "knn_join": f"WITH {_P}, {_QUERIES}, G AS (SELECT CAST(qid AS BIGINT) AS qid, id, name, x, y, {_DIST.format('qx', 'qy')} AS dist FROM P, S), O AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank FROM G) SELECT * FROM O WHERE rank <= 7",
+    "skyline_2d": f"WITH {_Q}, M AS (SELECT x, y, min(id) AS id FROM Q GROUP BY x, y) SELECT id, x, y FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y))",
+    "skyline_indexed": f"WITH {_P}, M AS (SELECT x, y, min(id) AS id FROM P GROUP BY x, y), F AS (SELECT id, x, y, min(y) OVER (ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM M) SELECT id, x, y FROM F WHERE m IS NULL OR y < m",
+    "skyline_3d": f"WITH M AS (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_discount AS DOUBLE) AS l_discount, min(CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) AS id FROM lineitem GROUP BY {_3D}) SELECT CAST(id AS BIGINT) AS id, {_3D} FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE b.l_quantity <= a.l_quantity AND b.l_extendedprice <= a.l_extendedprice AND b.l_discount <= a.l_discount AND (b.l_quantity < a.l_quantity OR b.l_extendedprice < a.l_extendedprice OR b.l_discount < a.l_discount))",
+    "dominated_points": f"WITH {_Q} SELECT id, x, y FROM Q a WHERE EXISTS (SELECT 1 FROM Q b WHERE b.id % 10 = 3 AND b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y))",
+    "mindist_origin": f"WITH {_NATION} SELECT node_id, sqrt(greatest(x_min, -x_max, 0) * greatest(x_min, -x_max, 0) + greatest(y_min, -y_max, 0) * greatest(y_min, -y_max, 0)) AS mindist FROM B",
+    "node_rectangles": f"WITH {_NATION} SELECT * FROM B",
+    "root_rectangle": f"WITH RECURSIVE {_Z}, T(h, m) AS (SELECT CAST(1 AS INTEGER), count(*) FROM N UNION ALL SELECT h + 1, (m + {CAP} - 1) // {CAP} FROM T WHERE m > 1) SELECT CAST((SELECT count(*) FROM P) AS BIGINT) AS points, count(*) AS num_leaves, (SELECT CAST(max(h) AS INTEGER) FROM T) AS height, min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max FROM N",
+    "page_layout": f"WITH {_Q}, R AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM Q) SELECT id, CAST(n // 564 AS BIGINT) AS block_id, CAST(n % 564 AS BIGINT) AS record_id FROM R",
+    "page_fetch": f"WITH {_Q}, R AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM Q) SELECT CAST(n // 50 AS BIGINT) AS block_id, CAST(n % 50 AS BIGINT) AS record_id, id, name, x, y FROM R WHERE n IN (7, 50, 149)",
+    "page_statistics": f"WITH {_Q}, R AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 150 AS b FROM Q), G AS (SELECT b, count(*) AS n FROM R GROUP BY b) SELECT count(*) AS pages, CAST(sum(n) AS BIGINT) AS points, max(n) AS fullest, min(n) AS emptiest FROM G",
+    "z_value": f"WITH {_Q}, I AS (SELECT id, CAST(trunc(x / 10 * CAST(10000000 AS DOUBLE)) AS BIGINT) AS a, CAST(trunc(y * CAST(10000000 AS DOUBLE)) AS BIGINT) AS b FROM Q) SELECT id, {_morton('a', 'b')} AS z FROM I",
+    "z_scaled": f"WITH {_Z} SELECT id, z FROM L",
+    "leaf_layout": f"WITH {_Z} SELECT id, leaf_id FROM L",
+    "leaf_rectangles": f"WITH {_Z} SELECT * FROM N",
+    "upper_rectangles": f"WITH {_Z} SELECT CAST(node_id // {CAP} AS BIGINT) AS node_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS points, min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max FROM N GROUP BY node_id // {CAP}",
+    "level_statistics": f"WITH {_Z} SELECT CAST(0 AS INTEGER) AS level, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS entries, min(n) AS fewest, max(n) AS largest FROM N",
+    "tail_rebalance": f"WITH {_Q}, R AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank, count(*) OVER () AS total FROM Q), H AS (SELECT *, CASE WHEN total > 141 AND total % 141 > 0 AND total % 141 < 66 THEN ntile((SELECT (count(*) + 140) // 141 FROM Q)) OVER (ORDER BY id) - 1 ELSE rank // 141 END AS leaf FROM R) SELECT CAST(leaf AS BIGINT) AS leaf_id, count(*) AS n, min(id) AS first_id FROM H GROUP BY leaf",
+    "node_intersections": f"WITH {_NATION} SELECT a.node_id AS a, b.node_id AS b FROM B a JOIN B b ON a.node_id < 12 AND a.node_id < b.node_id AND a.x_min <= b.x_max AND b.x_min <= a.x_max AND a.y_min <= b.y_max AND b.y_min <= a.y_max",
+    "choose_subtree": f"WITH {_Q}, {_NATION}, N AS (SELECT id, x * 9 - 8000 AS x, y * 20 AS y FROM Q), G AS (SELECT id, node_id, (greatest(x_max, x) - least(x_min, x)) * (greatest(y_max, y) - least(y_min, y)) - (x_max - x_min) * (y_max - y_min) AS enlargement FROM N, B), O AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY enlargement, node_id) AS r FROM G) SELECT id, node_id, enlargement FROM O WHERE r = 1",
+    "split_choice": f"WITH {_SPLIT} SELECT node_id, CAST(axis AS INTEGER) AS axis, CAST(cut AS INTEGER) AS cut FROM W",
+    "split_sides": f"WITH {_SPLIT} SELECT U.node_id AS node_id, U.id AS id, CAST(CASE WHEN U.rank <= W.cut THEN 1 ELSE 2 END AS INTEGER) AS side FROM U JOIN W ON U.node_id = W.node_id AND U.axis = W.axis",
+    "forced_reinsert": "WITH D AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST((CAST(c_custkey AS BIGINT) * 37) % 1000 AS DOUBLE) AS y FROM customer WHERE c_nationkey < 5), M AS (SELECT *, (min(x) OVER w + max(x) OVER w) / 2 AS mx, (min(y) OVER w + max(y) OVER w) / 2 AS my, count(*) OVER w AS n FROM D WINDOW w AS (PARTITION BY node_id)), F AS (SELECT *, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS dist FROM M), O AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY dist DESC, id) AS r FROM F) SELECT node_id, id, dist FROM O WHERE r <= n // 3",
+    "insert_points": f"WITH {_Q}, {_P} SELECT id, name, x, y FROM Q UNION ALL SELECT id, name, x, y FROM P WHERE id < 500",
+    "delete_points": f"WITH {_Q}, {_KEYS} SELECT id, name, x, y FROM Q WHERE NOT EXISTS (SELECT 1 FROM K WHERE K.id = Q.id AND K.x = Q.x AND K.y = Q.y)",
+    "deleted_points": f"WITH {_Q}, {_KEYS} SELECT count(*) AS n_deleted FROM Q WHERE EXISTS (SELECT 1 FROM K WHERE K.id = Q.id AND K.x = Q.x AND K.y = Q.y)",
+    "name_labels": f"WITH {_Q} SELECT id, concat('name ', CAST(1 + id % 8 AS VARCHAR)) AS name FROM Q",
+    "stored_names": f"WITH {_Q} SELECT id, substr(concat(name, ' with a longer tail'), 1, 30) AS name FROM Q",
+    "rectangle_measures": f"WITH {_NATION} SELECT node_id, (x_max - x_min) * (y_max - y_min) AS area, (x_max - x_min) + (y_max - y_min) AS margin, greatest(least(x_max, 5000) - greatest(x_min, 0), 0) * greatest(least(y_max, 500) - greatest(y_min, 0), 0) AS overlap, (x_min + x_max) / 2 AS centre_x, (y_min + y_max) / 2 AS centre_y, sqrt(greatest(abs(x_min), abs(x_max)) * greatest(abs(x_min), abs(x_max)) + greatest(abs(y_min), abs(y_max)) * greatest(abs(y_min), abs(y_max))) AS maxdist FROM B",
+}
