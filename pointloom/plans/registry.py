@@ -19,6 +19,7 @@ from pointloom.sources import points as P
 AREA = ((-30.0, 20.0), (0.0, 60.0))
 AT = (10.0, 20.0)
 K = 25
+EXACT = (908.8, 20.0)
 #: Small node size of the registered index, so that the test tables give several levels.
 MOST, FILL = 100, 0.85
 CAP, LEAST = 85, 40
@@ -93,7 +94,7 @@ def point_lookup(spark, sf_dir):
 
 
 def exact_match(spark, sf_dir):
-    return search.exact_match(part_points(spark, sf_dir), (901.0, 10.0))
+    return search.exact_match(part_points(spark, sf_dir), EXACT)
 
 
 def knn(spark, sf_dir):
@@ -312,7 +313,7 @@ ORACLES = {
     "range_query_indexed": f"WITH {_P} SELECT id, name, x, y FROM P WHERE {_box('', AREA)}",
     "range_join": f"WITH {_P}, {_AREAS} SELECT CAST(area_id AS BIGINT) AS area_id, id, name, x, y FROM P JOIN A ON x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max",
     "point_lookup": f"WITH {_Q} SELECT id, name, x, y FROM Q WHERE id = 77",
-    "exact_match": f"WITH {_Q} SELECT id, name, x, y FROM Q WHERE x = 901 AND y = 10",
+    "exact_match": f"WITH {_Q} SELECT id, name, x, y FROM Q WHERE x = CAST(908.8 AS DOUBLE) AND y = 20",
     "knn": f"WITH {_P} SELECT id, name, x, y, {_DIST.format(*AT)} AS dist FROM P ORDER BY dist, id LIMIT {K}",
     "knn_ties": f"WITH {_Q} SELECT id, name, x, y, {_DIST.format(910, 20)} AS dist FROM Q ORDER BY dist, id LIMIT 40",
     "knn_indexed": f"WITH {_P} SELECT id, name, x, y, {_DIST.format(*AT)} AS dist FROM P ORDER BY dist, id LIMIT {K}",

@@ -48,12 +48,10 @@ def invalid(df: DataFrame, coordinates: Sequence[str] = ("x", "y")) -> DataFrame
 
 
 def stored_name(name: Column) -> Column:
-    """A name as a 30-byte field keeps it: whole characters only."""
-    cut = F.decode(F.substring(F.encode(name, "UTF-8"), 1, NAME_BYTES), "UTF-8")
-    whole = F.when(F.octet_length(name) <= NAME_BYTES, name)
-    # a character cut in two is dropped: the longest prefix of characters within the bytes
-    fits = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.substring(name, F.lit(1), F.length(cut) - k))
-    return F.coalesce(whole, F.element_at(F.filter(fits, lambda p: F.octet_length(p) <= NAME_BYTES), 1))
+    """A name as a 30-byte field keeps it: the longest prefix of whole characters within the bytes."""
+    size = F.transform(F.split(name, ""), lambda c: F.octet_length(c))
+    before = F.aggregate(size, F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("n")), lambda a, x: F.when(a["bytes"] + x <= NAME_BYTES, F.struct((a["bytes"] + x).alias("bytes"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(NAME_BYTES + 1).alias("bytes"), a["n"].alias("n"))))
+    return F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(F.substring(name, F.lit(1), before["n"]))
 
 
 def page_layout(df: DataFrame, records: int = PAGE_RECORDS) -> DataFrame:
