@@ -6,8 +6,8 @@ corpus fits no machine, so the suffixes are dealt out such that all that can sha
 bytes meet:
 
 1. *Anchors.*  Of the grams of ``GRAM`` bytes in each window of ``LENGTH`` bytes, the one of least
-   hash (leftmost if equal) is the window's anchor.  Equal windows have equal anchors at equal
-   offsets, so anchors (about one in 18 bytes) stand for all windows.  Each task sends its
+   hash (leftmost if equal) is the window's anchor; chance repeats of so long a gram are rare.  Equal windows have equal anchors at equal
+   offsets, so anchors (about one in 14 bytes) stand for all windows.  Each task sends its
    anchors' hashes, packed, to buckets by hash; a hash met in several documents of one task
    is sent once, flagged, and its places are passed on beside the buckets, so a passage
    that a third of all documents share is a row per task, not per document.
@@ -21,8 +21,9 @@ bytes meet:
    factor then reaches ``LENGTH``, and its bytes are marked.
 4. Marks return to the documents and are joined; the text moves once (both returns use one exchange).
 
-Buckets and shards are as many as the total bytes ask for (``BUCKET_BYTES`` each), so a task's memory
-does not grow with the corpus.
+Buckets and shards are as many as the total bytes ask for (a prime near one for each ``BUCKET_BYTES``), so a
+task's memory does not grow with the corpus.  A row is known by its doc_id alone; only where ids repeat
+(counted first) a hash of the text, the *tag*, stands beside it.
 
 Edge cases: null and empty texts have no bytes and give a row; rows with a null doc_id are
 neither earlier nor later than any and keep all bytes; repeated rows are no earlier than each
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import text_or_empty
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 BEFORE = LENGTH - GRAM
 #: Bytes of text per bucket and per shard.
 BUCKET_BYTES = 4 << 20
@@ -50,9 +51,10 @@ BUCKET_BYTES = 4 << 20
 SLICE_BYTES, FLUSH_BYTES = 1 << 20, 32 << 20
 #: Pass-through buckets have numbers below zero, spread over so many.
 SPREAD = 4096
+#: Bytes of a hash sent beside its bucket.
+HASH_BYTES = 3
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK64 = (1 << 64) - 1
 _LOW = np.uint64((1 << 24) - 1)
 _POWERS = np.array([pow(_BASE, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.uint64)
 
@@ -146,12 +148,23 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Scrambled polynomial hash of the gram at each position, by doubling."""
-    h, size = data.astype(np.uint64), 1
-    while size < GRAM:
-        h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
-        size *= 2
-    return _scramble(h)
+    """Scrambled polynomial hash of the gram at each position, by doubling and one joining step."""
+    h, size, n = data.astype(np.uint64), 1, len(data) - GRAM + 1
+    out, done = None, 0
+    rest = GRAM
+    while rest:
+        if rest & 1:  # this power of two is part of the gram's length
+            if out is None:
+                out = h[:n].copy()
+            else:
+                out *= np.uint64(pow(_BASE, size, 1 << 64))
+                out += h[done : done + n]
+            done += size
+        rest >>= 1
+        if rest:
+            h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
+            size *= 2
+    return _scramble(out)
 
 
 def hashes_at(grams: np.ndarray) -> np.ndarray:
@@ -177,10 +190,16 @@ def anchors(data: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns with their types and lengths, compressed; read by ``_unpack``."""
+    """Columns with their types and shapes, byte plane by byte plane, compressed; read by ``_unpack``.
+
+    The first column is stored as differences: rows are in its order.
+    """
     head = ";".join(f"{c.dtype.str},{','.join(map(str, c.shape))}" for c in columns).encode()
-    body = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    body = len(head).to_bytes(4, "little") + head + body
+    planes = []
+    for i, c in enumerate(columns):
+        c = np.ascontiguousarray(c if i else np.diff(c, prepend=c.dtype.type(0)))
+        planes.append(c.tobytes() if c.itemsize == 1 or c.ndim > 1 else c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes())
+    body = len(head).to_bytes(4, "little") + head + b"".join(planes)
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
@@ -188,12 +207,15 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n = int.from_bytes(body[:4], "little")
     at, out = 4 + n, []
-    for part in body[4 : 4 + n].decode().split(";"):
+    for i, part in enumerate(body[4 : 4 + n].decode().split(";")):
         kind, *shape = part.split(",")
-        size = tuple(map(int, shape))
+        size, width = tuple(map(int, shape)), np.dtype(kind).itemsize
         count = int(np.prod(size))
-        out.append(np.frombuffer(body, kind, count, at).reshape(size))
-        at += count * np.dtype(kind).itemsize
+        raw = np.frombuffer(body, np.uint8, count * width, at)
+        plain = width == 1 or len(size) > 1
+        c = raw.view(kind).reshape(size) if plain else np.ascontiguousarray(raw.reshape(width, count).T).view(kind).reshape(count)
+        out.append(c if i else np.cumsum(c, dtype=c.dtype))
+        at += count * width
     return out
 
 
@@ -211,30 +233,39 @@ def _deal(number: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int,
         yield int(number[a]), _pack(*[c[order[a:b]] for c in columns])
 
 
+def _shard(doc: np.ndarray, tag: np.ndarray, shards: int) -> np.ndarray:
+    return (doc % shards + tag % shards) % shards
+
+
 def _batch(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=[name, "data"])
 
 
-def _anchor_blobs(doc: np.ndarray, key: np.ndarray, at: np.ndarray, h: np.ndarray, buckets: int, salt: int) -> list[tuple[int, bytes]]:
-    """Packed anchors of one task's flush: by bucket, and the locally repeated ones beside the buckets."""
+def _anchor_blobs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, h: np.ndarray, buckets: int, salt: int) -> list[tuple[int, bytes]]:
+    """Packed anchors of one task's flush: by bucket, and the locally repeated ones beside the buckets.
+
+    Of a hash, the bucket and ``HASH_BYTES`` more are kept: buckets grow with the corpus, so the
+    share of chance repeats, which only cost a comparison later, does not.
+    """
+    if not len(h):
+        return []
     order = np.argsort(h, kind="stable")
-    doc, key, at, h = doc[order], key[order], at[order], h[order]
+    doc, tag, at, h = doc[order], tag[order], at[order], h[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     group = np.cumsum(new) - 1
     starts = np.nonzero(new)[0]
     low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
     local = (low != high)[group]
-    send = ~local | new  # one row of a locally repeated hash
     bucket = (h % np.uint64(buckets)).astype(np.int64)
-    rest = (h // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    # within a bucket by row, so that keys and places compress
-    pick = np.nonzero(send)[0]
-    pick = pick[np.lexsort((at[pick], key[pick]))]
-    out = list(_deal(bucket[pick], [rest[pick], doc[pick], key[pick], at[pick].astype(np.uint32), local[pick]]))
+    rest = (h // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+    # within a bucket by row, so that ids and places compress
+    pick = np.nonzero(~local | new)[0]  # one row of a locally repeated hash
+    pick = pick[np.lexsort((at[pick], tag[pick], doc[pick]))]
+    out = list(_deal(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), local[pick], rest[pick]]))
     passed = np.nonzero(local)[0]
     if len(passed):
-        passed = passed[np.lexsort((at[passed], key[passed]))]
-        out.append((-1 - salt % SPREAD, _pack(key[passed], doc[passed], at[passed].astype(np.uint32))))
+        passed = passed[np.lexsort((at[passed], tag[passed], doc[passed]))]
+        out.append((-1 - salt % SPREAD, _pack(doc[passed], tag[passed], at[passed].astype(np.uint32))))
     return out
 
 
@@ -253,19 +284,19 @@ def _scan(buckets: int, slice_bytes: int = SLICE_BYTES, flush_bytes: int = FLUSH
                 windows[starts[i] : max(starts[i], starts[i + 1] - LENGTH + 1)] = True
             at, h = anchors(data, windows)
             which = np.searchsorted(starts, at, side="right") - 1
-            doc, key, offset = (np.array([p[i] for p in piece], np.int64) for i in range(3))
-            held.append((doc[which], key[which], at - starts[which] + offset[which], h))
+            doc, tag, offset = (np.array([p[i] for p in piece], np.int64) for i in range(3))
+            held.append((doc[which], tag[which], at - starts[which] + offset[which], h))
             piece.clear()
             piece_bytes = 0
 
         for batch in batches:
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = text.encode("utf-8", "surrogatepass")
                 for offset in range(0, max(1, len(raw) - LENGTH + 1), slice_bytes):
                     part = raw[offset : offset + slice_bytes + LENGTH - 1]
                     if len(part) < LENGTH:
                         continue
-                    piece.append((doc, key, offset, part))
+                    piece.append((doc, tag, offset, part))
                     piece_bytes += len(part)
                     flush += len(part)
                     if piece_bytes >= slice_bytes:
@@ -273,14 +304,14 @@ def _scan(buckets: int, slice_bytes: int = SLICE_BYTES, flush_bytes: int = FLUSH
                 if flush >= flush_bytes:
                     if piece:
                         settle()
-                    rows = _anchor_blobs(*(np.concatenate([x[i] for x in held]) for i in range(4)), buckets, key)
+                    rows = _anchor_blobs(*(np.concatenate([x[i] for x in held]) for i in range(4)), buckets, doc)
                     yield _batch(rows, "bucket")
                     held.clear()
                     flush = 0
         if piece:
             settle()
         if held:
-            rows = _anchor_blobs(*(np.concatenate([x[i] for x in held]) for i in range(4)), buckets, int(held[-1][1][-1]) if len(held[-1][1]) else 0)
+            rows = _anchor_blobs(*(np.concatenate([x[i] for x in held]) for i in range(4)), buckets, doc)
             yield _batch(rows, "bucket")
 
     return run
@@ -292,18 +323,22 @@ def _repeated(shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket, blobs = table.column(0)[0].as_py(), table.column(1).to_pylist()
         if bucket < 0:
-            key, doc, at = _gathered(blobs)
+            doc, tag, at = _gathered(blobs)
         else:
-            rest, doc, key, at, flag = _gathered(blobs)
-            order = np.argsort(rest, kind="stable")
-            rest, doc, key, at, flag = rest[order], doc[order], key[order], at[order], flag[order]
-            starts = np.nonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))[0]
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rest))))
+            doc, tag, at, flag, rest = _gathered(blobs)
+            value = np.zeros((len(doc), 8), np.uint8)
+            value[:, :HASH_BYTES] = rest
+            value = value.view(np.uint64).reshape(-1)
+            order = np.argsort(value, kind="stable")
+            value, doc, tag, at, flag = value[order], doc[order], tag[order], at[order], flag[order]
+            starts = np.nonzero(np.concatenate([[True], value[1:] != value[:-1]]))[0]
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))
             shared = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(flag, starts)
             take = shared[group] & ~flag  # flagged ones were passed on already
-            key, doc, at = key[take], doc[take], at[take]
-        order = np.lexsort((at, key))
-        return pa.Table.from_batches([_batch(list(_deal(key[order] % shards, [key[order], doc[order], at[order]])), "shard")])
+            doc, tag, at = doc[take], tag[take], at[take]
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at = doc[order], tag[order], at[order]
+        return pa.Table.from_batches([_batch(list(_deal(_shard(doc, tag, shards), [doc, tag, at])), "shard")])
 
     return run
 
@@ -311,13 +346,18 @@ def _repeated(shards: int):
 # ---- surroundings ----------------------------------------------------------------------------------
 
 
-def _texts(left: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
-    doc = left.column("doc_id").to_pylist()
-    return doc, np.array(left.column("key").to_pylist(), np.int64), [t.encode("utf-8", "surrogatepass") for t in left.column("text").to_pylist()]
+def _texts(left: pa.Table) -> tuple[list, list[int], list[bytes]]:
+    return left.column("doc_id").to_pylist(), left.column("tag").to_pylist(), [t.encode("utf-8", "surrogatepass") for t in left.column("text").to_pylist()]
 
 
-def _ranges(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+def _of_row(owner: np.ndarray, tags: np.ndarray, doc: int | None, tag: int) -> slice:
+    """Where the entries of a row stand; ``owner`` is sorted, ``tags`` within each owner."""
+    if doc is None:
+        return slice(0, 0)
+    a, b = np.searchsorted(owner, doc, "left"), np.searchsorted(owner, doc, "right")
+    if a == b:
+        return slice(0, 0)
+    return slice(a + np.searchsorted(tags[a:b], tag, "left"), a + np.searchsorted(tags[a:b], tag, "right"))
 
 
 def _surroundings(buckets: int):
@@ -327,40 +367,34 @@ def _surroundings(buckets: int):
         schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        keys, owners, places = _gathered(right.column("data").to_pylist())
-        order = np.lexsort((places, owners, keys))
-        keys, owners, places = keys[order], owners[order], places[order].astype(np.int64)
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]) | (places[1:] != places[:-1])])
-        keys, owners, places = keys[fresh], owners[fresh], places[fresh]
-        docs, key, texts = _texts(left)
-        low, high = _ranges(keys, key)
+        owner, tags, places = _gathered(right.column("data").to_pylist())
+        order = np.lexsort((places, tags, owner))
+        owner, tags, places = owner[order], tags[order], places[order].astype(np.int64)
+        fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (tags[1:] != tags[:-1]) | (places[1:] != places[:-1])])
+        owner, tags, places = owner[fresh], tags[fresh], places[fresh]
         seen: set[tuple[int, int]] = set()
-        doc, own, at, before, after, rows = [], [], [], [], [], []
-        for i, raw in enumerate(texts):
-            if low[i] == high[i] or docs[i] is None or (docs[i], int(key[i])) in seen:
-                continue
-            seen.add((docs[i], int(key[i])))
-            p = places[low[i] : high[i]][owners[low[i] : high[i]] == docs[i]]
-            if not len(p):
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for d, t, raw in zip(*_texts(left)):
+            p = places[_of_row(owner, tags, d, t)]
+            if not len(p) or (d, t) in seen:
                 continue
+            seen.add((d, t))
             data = np.frombuffer(bytes(BEFORE) + raw + bytes(LENGTH), np.uint8)
-            rows.append(data[p[:, None] + np.arange(BEFORE + LENGTH)])
-            at.append(p)
-            before.append(np.minimum(BEFORE, p))
-            after.append(np.minimum(LENGTH, len(raw) - p))
-            doc.append(np.full(len(p), docs[i], np.int64))
-            own.append(np.full(len(p), key[i], np.int64))
-        if not rows:
+            values = (np.full(len(p), d, np.int64), np.full(len(p), t, np.int64), p, np.minimum(BEFORE, p), np.minimum(LENGTH, len(raw) - p), data[p[:, None] + np.arange(BEFORE + LENGTH)])
+            for column, value in zip(columns, values):
+                column.append(value)
+        if not columns[0]:
             return schema.empty_table()
-        doc, own, at, before, after = map(np.concatenate, (doc, own, at, before, after))
-        rows = np.concatenate(rows)
+        doc, tag, at, before, after, rows = map(np.concatenate, columns)
         bucket = (hashes_at(rows[:, BEFORE : BEFORE + GRAM]) % np.uint64(buckets)).astype(np.int64)
-        whole = np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)])
-        first, later = _first_copies(whole, doc)
-        out = list(_deal(bucket[first], [doc[first], own[first], at[first].astype(np.int64), before[first].astype(np.uint8), after[first].astype(np.uint8), rows[first]]))
+        first, later = _first_copies(np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)]), doc)
+        pick = np.nonzero(first)[0]
+        pick = pick[np.lexsort((at[pick], tag[pick], doc[pick]))]
+        out = list(_deal(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), before[pick].astype(np.uint8), after[pick].astype(np.uint8), rows[pick]]))
         gone = later & (before + after >= LENGTH)
         if gone.any():
-            out.append((-1 - int(key[0]) % SPREAD, _pack(own[gone], doc[gone], (at - before)[gone], (at + after)[gone])))
+            joined = _joined(doc[gone], tag[gone], (at - before)[gone], (at + after)[gone])
+            out.append((-1 - int(doc[0]) % SPREAD, _pack(*joined)))
         return pa.Table.from_batches([_batch(out, "bucket")])
 
     return run
@@ -373,19 +407,20 @@ def _first_copies(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _marks(shards: int):
-    """Bucket: (key, doc_id, start, end) of repeated windows, dealt by shard."""
+    """Bucket: (doc_id, tag, start, end) of repeated windows, dealt by shard."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, blobs = table.column(0)[0].as_py(), table.column(1).to_pylist()
         if bucket < 0:
-            own, doc, start, end = _gathered(blobs)
+            doc, tag, start, end = _gathered(blobs)
         else:
-            doc, own, at, before, after, rows = _gathered(blobs)
+            doc, tag, at, before, after, rows = _gathered(blobs)
+            at = at.astype(np.int64)
             before, after = before.astype(np.int64), after.astype(np.int64)
             first, later = _first_copies(np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)]), doc)
             gone = later & (before + after >= LENGTH)
-            found = [(own[gone], doc[gone], (at - before)[gone], (at + after)[gone])]
-            doc, own, at, before, after, rows = (c[first] for c in (doc, own, at, before, after, rows))
+            found = [(doc[gone], tag[gone], (at - before)[gone], (at + after)[gone])]
+            doc, tag, at, before, after, rows = (c[first] for c in (doc, tag, at, before, after, rows))
             # windows of the anchors that several documents' first copies share
             gram = hashes_at(rows[:, BEFORE : BEFORE + GRAM])
             for offset in range(-BEFORE, 1):  # all suffixes that begin so far from the anchor
@@ -399,10 +434,10 @@ def _marks(shards: int):
                     continue
                 fits = fits[several]
                 hit = fits[earlier_match(window[several], doc[fits])]
-                found.append((own[hit], doc[hit], at[hit] + offset, at[hit] + offset + LENGTH))
-            own, doc, start, end = (np.concatenate([f[i] for f in found]) for i in range(4))
-        own, doc, start, end = _joined(own, doc, start, end)
-        return pa.Table.from_batches([_batch(list(_deal(own % shards, [own, doc, start, end])), "shard")])
+                found.append((doc[hit], tag[hit], at[hit] + offset, at[hit] + offset + LENGTH))
+            doc, tag, start, end = (np.concatenate([f[i] for f in found]) for i in range(4))
+        joined = _joined(doc, tag, start, end)
+        return pa.Table.from_batches([_batch(list(_deal(_shard(joined[0], joined[1], shards), list(joined))), "shard")])
 
     return run
 
@@ -428,46 +463,55 @@ def _not_alone(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _joined(own: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Maximal runs of the (overlapping or touching) stretches of each row (key and doc_id)."""
-    if not len(own):
-        return tuple(c.astype(np.int64) for c in (own, doc, start, end))
-    order = np.lexsort((end, start, doc, own))
-    own, doc, start, end = own[order], doc[order], start[order], end[order]
-    other = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+def _joined(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal runs of the (overlapping or touching) stretches of each row, in order of row and place."""
+    if not len(doc):
+        return tuple(c.astype(np.int64) for c in (doc, tag, start, end))
+    order = np.lexsort((end, start, tag, doc))
+    doc, tag, start, end = (c[order].astype(np.int64) for c in (doc, tag, start, end))
+    other = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
     group = np.cumsum(np.concatenate([[0], other]))
     width = int(end.max()) + 2
     reach = np.maximum.accumulate(end + group * width) - group * width
     at = np.nonzero(np.concatenate([[True], other | (start[1:] > reach[:-1])]))[0]
-    return own[at], doc[at], start[at], np.maximum.reduceat(end, at)
+    return doc[at], tag[at], start[at], np.maximum.reduceat(end, at)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
-    docs, key, texts = _texts(left)
+    docs, tags, texts = _texts(left)
     marks = _gathered(right.column("data").to_pylist()) if right.num_rows else None
-    own, owner, start, end = _joined(*marks) if marks else (np.zeros(0, np.int64),) * 4
-    low, high = _ranges(own, key)
+    owner, own_tag, start, end = _joined(*marks) if marks else (np.zeros(0, np.int64),) * 4
     spans, kept = [], []
-    for i, raw in enumerate(texts):
-        mine = [(a, b) for a, b, d in zip(*(c[low[i] : high[i]].tolist() for c in (start, end, owner))) if d == docs[i]]
+    for d, t, raw in zip(docs, tags, texts):
+        where = _of_row(owner, own_tag, d, t)
+        mine = list(zip(start[where].tolist(), end[where].tolist()))
         edges = [0, *(x for s in mine for x in s), len(raw)]
         spans.append([{"start": a, "end": b} for a, b in mine])
         kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
     return pa.Table.from_pydict({"doc_id": docs, "n_bytes": [len(t) for t in texts], "spans": spans, "kept": kept}, _OUT)
 
 
+def _prime_from(n: int) -> int:
+    """The least prime from ``n`` on: ids in strides still spread over all shards."""
+    while n < 2 or any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of the removed runs, in bytes) and kept (the other bytes) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = int(total // bucket_bytes) + 1
-    key = F.xxhash64("doc_id", "text")
-    anchored = rows.filter("doc_id is not null").filter(F.octet_length("text") >= LENGTH).select("doc_id", key.alias("key"), "text").mapInArrow(_scan(parts), "bucket long, data binary")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    total = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = _prime_from(int(total // bucket_bytes) + 1)
+    repeated = plain.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
+    rows = plain.withColumn("tag", F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text"))
+    anchored = rows.filter("doc_id is not null").filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").mapInArrow(_scan(parts), "bucket long, data binary")
     places = anchored.groupBy("bucket").applyInArrow(_repeated(parts), "shard long, data binary")
-    sharded = rows.select("doc_id", key.alias("key"), "text").withColumn("shard", F.pmod("key", F.lit(parts)))
+    shard = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(parts)) + F.pmod("tag", F.lit(parts)), F.lit(parts))
+    sharded = rows.select("doc_id", "tag", "text", shard.cast("long").alias("shard"))
     around = sharded.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_surroundings(parts), "bucket long, data binary")
     marks = around.groupBy("bucket").applyInArrow(_marks(parts), "shard long, data binary")
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
