@@ -77,7 +77,8 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     """
     rows = materialise(recipes(docs, bits).withColumn("rh", F.xxhash64("recipe")), "recipes")
     groups = rows.groupBy("rh", "recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    shared = groups.filter("group_size > 1")
+    # written, so that the join reads two plain shuffles: only such joins split a hot group's partition
+    shared = materialise(groups.filter("group_size > 1"), "recipe-groups")
     joined = rows.join(shared, ["rh", "recipe"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
