@@ -61,5 +61,6 @@ QUERIES = {
     "op10_mix": op10_mix,
 }
 ORACLES = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }

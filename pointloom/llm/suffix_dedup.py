@@ -19,7 +19,11 @@ bytes meet:
    order whose common prefixes reach ``LENGTH``, a suffix has an earlier match exactly if the
    previous or the next smaller position (by document) lies in the stretch: its longest previous
    factor then reaches ``LENGTH``, and its bytes are marked.
-4. Marks return to the documents and are joined; the text moves once (both returns use one exchange).
+4. *Hot anchors*, met in ``HOT_SHARE`` of all documents, would put that share of all surroundings into
+   one bucket: the ends of a common passage differ in every document.  Their buckets name them to all
+   shards (there are at most anchors-per-document / ``HOT_SHARE`` of them), and each window that holds one
+   goes, as a 128-bit digest, to a bucket of its own by content instead.
+5. Marks return to the documents and are joined; the text moves once (both returns use one exchange).
 
 Buckets and shards are as many as the total bytes ask for (a prime near one for each ``BUCKET_BYTES``), so a
 task's memory does not grow with the corpus.  A row is known by its doc_id alone; only where ids repeat
@@ -53,6 +57,8 @@ SLICE_BYTES, FLUSH_BYTES = 1 << 20, 32 << 20
 SPREAD = 4096
 #: Bytes of a hash sent beside its bucket.
 HASH_BYTES = 3
+#: An anchor is hot from this share of all documents on, and from so many documents at least.
+HOT_SHARE, HOT_LEAST = 0.005, 2000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 24) - 1)
@@ -226,7 +232,8 @@ def _gathered(blobs: list[bytes]) -> list[np.ndarray] | None:
 
 def _deal(number: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """(number, packed rows) for each value of ``number``; rows keep their order."""
-    order = np.argsort(number, kind="stable")
+    small = len(number) > 0 and 0 <= number.min() and number.max() < 1 << 16
+    order = np.argsort(number.astype(np.uint16) if small else number, kind="stable")  # two bytes sort by radix
     number = number[order]
     cuts = np.append(np.nonzero(np.concatenate([[True], number[1:] != number[:-1]]))[0], len(number)) if len(number) else []
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -249,22 +256,27 @@ def _anchor_blobs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, h: np.ndarra
     """
     if not len(h):
         return []
-    order = np.argsort(h, kind="stable")
-    doc, tag, at, h = doc[order], tag[order], at[order], h[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    group = np.cumsum(new) - 1
-    starts = np.nonzero(new)[0]
-    low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-    local = (low != high)[group]
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    rest = (h // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-    # within a bucket by row, so that ids and places compress
-    pick = np.nonzero(~local | new)[0]  # one row of a locally repeated hash
-    pick = pick[np.lexsort((at[pick], tag[pick], doc[pick]))]
-    out = list(_deal(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), local[pick], rest[pick]]))
-    passed = np.nonzero(local)[0]
+    # only rows whose hash occurs again need grouping; all others stay in reading order
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.zeros(len(h), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    again = order[again]
+    send, count, passed = np.ones(len(h), bool), np.ones(len(h), np.uint32), np.zeros(0, np.int64)
+    if len(again):
+        value, owner = h[again], doc[again]
+        starts = np.nonzero(np.concatenate([[True], value[1:] != value[:-1]]))[0]
+        sizes = np.diff(np.append(starts, len(value)))
+        several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+        passed = np.sort(again[np.repeat(several, sizes)])
+        send[passed] = False  # but for one row of each locally repeated hash, with how many it stands for
+        send[again[starts[several]]] = True
+        count[again[starts[several]]] = sizes[several]
+    bucket, rest = _parts(h, buckets)
+    pick = np.nonzero(send)[0]
+    out = list(_deal(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), count[pick], rest[pick]]))
     if len(passed):
-        passed = passed[np.lexsort((at[passed], tag[passed], doc[passed]))]
         out.append((-1 - salt % SPREAD, _pack(doc[passed], tag[passed], at[passed].astype(np.uint32))))
     return out
 
@@ -317,28 +329,44 @@ def _scan(buckets: int, slice_bytes: int = SLICE_BYTES, flush_bytes: int = FLUSH
     return run
 
 
-def _repeated(shards: int):
-    """Bucket: places of hashes met in two documents or more, dealt by shard."""
+def _code(bucket: np.ndarray | int, rest: np.ndarray) -> np.ndarray:
+    """What is kept of a hash, as one number: its bucket and the bytes beside it."""
+    value = np.zeros((len(rest), 8), np.uint8)
+    value[:, :HASH_BYTES] = rest
+    return value.view(np.int64).reshape(-1) | (np.int64(1) * bucket << (8 * HASH_BYTES))
+
+
+def _parts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, bytes sent beside it) of hashes."""
+    return (h % np.uint64(buckets)).astype(np.int64), (h // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+
+
+def _repeated(shards: int, hot: float):
+    """Bucket: places of hashes met in two documents or more, dealt by shard; hot hashes, for every shard."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, blobs = table.column(0)[0].as_py(), table.column(1).to_pylist()
+        codes = np.zeros(0, np.int64)
         if bucket < 0:
             doc, tag, at = _gathered(blobs)
         else:
-            doc, tag, at, flag, rest = _gathered(blobs)
-            value = np.zeros((len(doc), 8), np.uint8)
-            value[:, :HASH_BYTES] = rest
-            value = value.view(np.uint64).reshape(-1)
-            order = np.argsort(value, kind="stable")
-            value, doc, tag, at, flag = value[order], doc[order], tag[order], at[order], flag[order]
-            starts = np.nonzero(np.concatenate([[True], value[1:] != value[:-1]]))[0]
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))
-            shared = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(flag, starts)
-            take = shared[group] & ~flag  # flagged ones were passed on already
+            doc, tag, at, count, rest = _gathered(blobs)
+            code = _code(bucket, rest)
+            order = np.argsort(code, kind="stable")
+            code, doc, tag, at, count = code[order], doc[order], tag[order], at[order], count[order]
+            starts = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
+            codes = code[starts[np.add.reduceat(count.astype(np.int64), starts) >= hot]]
+            shared = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.maximum.reduceat(count, starts) > 1)
+            take = shared[group] & (count == 1)  # the others were passed on already
             doc, tag, at = doc[take], tag[take], at[take]
         order = np.lexsort((at, tag, doc))
         doc, tag, at = doc[order], tag[order], at[order]
-        return pa.Table.from_batches([_batch(list(_deal(_shard(doc, tag, shards), [doc, tag, at])), "shard")])
+        rows = list(_deal(_shard(doc, tag, shards), [doc, tag, at]))
+        if len(codes):
+            blob = _pack(codes)
+            rows += [(shard, blob) for shard in range(shards)]
+        return pa.Table.from_batches([_batch(rows, "shard")])
 
     return run
 
@@ -361,49 +389,79 @@ def _of_row(owner: np.ndarray, tags: np.ndarray, doc: int | None, tag: int) -> s
 
 
 def _surroundings(buckets: int):
-    """Shard: surroundings of its repeated anchors by bucket, and marks of those repeated inside the shard."""
+    """Shard: surroundings of its repeated anchors by bucket, windows of hot anchors by content, and marks
+    of what is repeated inside the shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
-        if not left.num_rows or not right.num_rows:
+        blobs = [_unpack(b) for b in right.column("data").to_pylist()] if left.num_rows else []
+        hot = np.unique(np.concatenate([np.zeros(0, np.int64), *(b[0] for b in blobs if len(b) == 1)]))
+        blobs = [b for b in blobs if len(b) == 3]
+        if not blobs:
             return schema.empty_table()
-        owner, tags, places = _gathered(right.column("data").to_pylist())
+        owner, tags, places = (np.concatenate([b[i] for b in blobs]) for i in range(3))
         order = np.lexsort((places, tags, owner))
         owner, tags, places = owner[order], tags[order], places[order].astype(np.int64)
         fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (tags[1:] != tags[:-1]) | (places[1:] != places[:-1])])
         owner, tags, places = owner[fresh], tags[fresh], places[fresh]
         seen: set[tuple[int, int]] = set()
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        parts, lengths, own, who = [], [], [], []
         for d, t, raw in zip(*_texts(left)):
-            p = places[_of_row(owner, tags, d, t)]
-            if not len(p) or (d, t) in seen:
+            where = _of_row(owner, tags, d, t)
+            if where.start == where.stop or (d, t) in seen:
                 continue
             seen.add((d, t))
-            data = np.frombuffer(bytes(BEFORE) + raw + bytes(LENGTH), np.uint8)
-            values = (np.full(len(p), d, np.int64), np.full(len(p), t, np.int64), p, np.minimum(BEFORE, p), np.minimum(LENGTH, len(raw) - p), data[p[:, None] + np.arange(BEFORE + LENGTH)])
-            for column, value in zip(columns, values):
-                column.append(value)
-        if not columns[0]:
+            own.append(np.arange(where.start, where.stop))
+            who.append(np.full(where.stop - where.start, len(parts)))
+            parts.append(bytes(BEFORE) + raw + bytes(LENGTH))
+            lengths.append(len(raw))
+        if not parts:
             return schema.empty_table()
-        doc, tag, at, before, after, rows = map(np.concatenate, columns)
-        bucket = (hashes_at(rows[:, BEFORE : BEFORE + GRAM]) % np.uint64(buckets)).astype(np.int64)
-        first, later = _first_copies(np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)]), doc)
-        pick = np.nonzero(first)[0]
-        pick = pick[np.lexsort((at[pick], tag[pick], doc[pick]))]
-        out = list(_deal(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), before[pick].astype(np.uint8), after[pick].astype(np.uint8), rows[pick]]))
-        gone = later & (before + after >= LENGTH)
-        if gone.any():
-            joined = _joined(doc[gone], tag[gone], (at - before)[gone], (at + after)[gone])
-            out.append((-1 - int(doc[0]) % SPREAD, _pack(*joined)))
+        text, lengths, own, who = np.frombuffer(b"".join(parts), np.uint8), np.array(lengths), np.concatenate(own), np.concatenate(who)
+        base = np.cumsum(lengths + BEFORE + LENGTH) - (lengths + BEFORE + LENGTH)
+        doc, tag, at = owner[own], tags[own], places[own]
+        rows = text[(base[who] + at)[:, None] + np.arange(BEFORE + LENGTH)]
+        h = hashes_at(rows[:, BEFORE : BEFORE + GRAM])
+        before, after = np.minimum(BEFORE, at), np.minimum(LENGTH, lengths[who] - at)
+        out, marks = [], []
+
+        def send(number: np.ndarray, first: np.ndarray, doc, tag, at, *more: np.ndarray) -> None:
+            pick = np.nonzero(first)[0]
+            pick = pick[np.lexsort((at[pick], tag[pick], doc[pick]))]
+            out.extend(_deal(number[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), *(m[pick] for m in more)]))
+
+        common = np.isin(_code(*_parts(h, buckets)), hot) if len(hot) else np.zeros(len(h), bool)
+        if common.any():
+            w = (who[common] << 40)[:, None] + at[common][:, None] + np.arange(-BEFORE, 1)
+            w = np.unique(w[(at[common][:, None] + np.arange(-BEFORE, 1)) >= 0])
+            of, start = w >> 40, w & ((1 << 40) - 1)
+            fits = start + LENGTH <= lengths[of]
+            of, start = of[fits], start[fits]
+            place = np.zeros(len(parts), np.int64)
+            place[who[::-1]] = np.arange(len(who))[::-1]  # some entry of each row, for its ids
+            wd, wt = doc[place[of]], tag[place[of]]
+            digest = np.concatenate([_digests(text[(base[of[i : i + 65536]] + BEFORE + start[i : i + 65536])[:, None] + np.arange(LENGTH)]) for i in range(0, len(of), 65536)])
+            later = earlier_match(digest, wd)
+            marks.append((wd[later], wt[later], start[later], start[later] + LENGTH))
+            send(buckets + (np.ascontiguousarray(digest).view(np.uint64)[:, 0] % np.uint64(buckets)).astype(np.int64), ~later, wd, wt, start, digest)
+            doc, tag, at, before, after, rows, h = (c[~common] for c in (doc, tag, at, before, after, rows, h))
+        before, after = before.astype(np.uint8), after.astype(np.uint8)
+        later = earlier_match(np.column_stack([rows, before, after]), doc)
+        send((h % np.uint64(buckets)).astype(np.int64), ~later, doc, tag, at, before, after, rows)
+        gone = later & (before.astype(np.int64) + after >= LENGTH)
+        marks.append((doc[gone], tag[gone], (at - before)[gone], (at + after)[gone]))
+        joined = _joined(*(np.concatenate([m[i] for m in marks]) for i in range(4)))
+        if len(joined[0]):
+            out.append((-1 - int(joined[0][0]) % SPREAD, _pack(*joined)))
         return pa.Table.from_batches([_batch(out, "bucket")])
 
     return run
 
 
-def _first_copies(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that no equal row of a smaller document precedes, the others), as masks."""
-    later = earlier_match(rows, doc)
-    return ~later, later
+def _digests(windows: np.ndarray) -> np.ndarray:
+    """Sixteen bytes that stand for each row."""
+    a = _quick(windows)
+    return np.column_stack([a, _quick(windows[:, ::-1]) ^ (a << np.uint64(1))]).view(np.uint8).reshape(-1, 16)
 
 
 def _marks(shards: int):
@@ -413,16 +471,23 @@ def _marks(shards: int):
         bucket, blobs = table.column(0)[0].as_py(), table.column(1).to_pylist()
         if bucket < 0:
             doc, tag, start, end = _gathered(blobs)
+        elif bucket >= shards:  # windows of hot anchors
+            doc, tag, start, digest = _gathered(blobs)
+            hit = earlier_match(digest, doc)
+            doc, tag, start = doc[hit], tag[hit], start[hit].astype(np.int64)
+            end = start + LENGTH
         else:
             doc, tag, at, before, after, rows = _gathered(blobs)
             at = at.astype(np.int64)
             before, after = before.astype(np.int64), after.astype(np.int64)
-            first, later = _first_copies(np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)]), doc)
-            gone = later & (before + after >= LENGTH)
+            later = earlier_match(np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)]), doc)
+            first, gone = ~later, later & (before + after >= LENGTH)
             found = [(doc[gone], tag[gone], (at - before)[gone], (at + after)[gone])]
             doc, tag, at, before, after, rows = (c[first] for c in (doc, tag, at, before, after, rows))
             # windows of the anchors that several documents' first copies share
             gram = hashes_at(rows[:, BEFORE : BEFORE + GRAM])
+            several = _not_alone(gram)
+            doc, tag, at, before, after, rows, gram = (c[several] for c in (doc, tag, at, before, after, rows, gram))
             for offset in range(-BEFORE, 1):  # all suffixes that begin so far from the anchor
                 fits = np.nonzero((before >= -offset) & (after >= offset + LENGTH))[0]
                 if len(fits) < 2:
@@ -455,7 +520,7 @@ def _quick(window: np.ndarray) -> np.ndarray:
 
 
 def _not_alone(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     same = values[order][1:] == values[order][:-1]
     out = np.zeros(len(values), bool)
     out[order[1:]] |= same
@@ -501,15 +566,15 @@ def _prime_from(n: int) -> int:
     return n
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of the removed runs, in bytes) and kept (the other bytes) of every row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    total = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total, count = plain.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     parts = _prime_from(int(total // bucket_bytes) + 1)
     repeated = plain.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
     rows = plain.withColumn("tag", F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text"))
     anchored = rows.filter("doc_id is not null").filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").mapInArrow(_scan(parts), "bucket long, data binary")
-    places = anchored.groupBy("bucket").applyInArrow(_repeated(parts), "shard long, data binary")
+    places = anchored.groupBy("bucket").applyInArrow(_repeated(parts, max(hot_least, HOT_SHARE * count)), "shard long, data binary")
     shard = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(parts)) + F.pmod("tag", F.lit(parts)), F.lit(parts))
     sharded = rows.select("doc_id", "tag", "text", shard.cast("long").alias("shard"))
     around = sharded.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_surroundings(parts), "bucket long, data binary")
@@ -522,3 +587,20 @@ def digest(repeats: DataFrame) -> DataFrame:
     """The digest columns of ``remove_repeats``."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return repeats.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row_id, doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d WHERE length(h) >= 100),
+g AS (SELECT row_id, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s),
+m AS (SELECT g.row_id, g.p FROM g JOIN f ON g.s = f.s WHERE f.first_id < g.doc_id),
+e AS (SELECT row_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m),
+r AS (SELECT row_id, p, sum(new) OVER (PARTITION BY row_id ORDER BY p) AS run FROM e),
+i AS (SELECT row_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY row_id, run),
+k AS (SELECT row_id, a, b, coalesce(lag(b) OVER (PARTITION BY row_id ORDER BY a), 0) AS before FROM i),
+t AS (SELECT k.row_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM k JOIN d ON d.row_id = k.row_id GROUP BY k.row_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN t.row_id IS NULL THEN d.h ELSE concat(t.head, substr(d.h, 2 * t.last + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN t ON d.row_id = t.row_id
+"""

@@ -192,8 +192,8 @@ def repeats_brute(rows, length=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("bucket_bytes", "slice_bytes", "repeated_ids"), [(1 << 22, 1 << 20, True), (1500, 1 << 20, False), (1500, 200, True)])
-def test_repeated_passages(spark, awkward, monkeypatch, bucket_bytes, slice_bytes, repeated_ids):
+@pytest.mark.parametrize(("bucket_bytes", "slice_bytes", "repeated_ids", "hot"), [(1 << 22, 1 << 20, True, 2000), (1500, 1 << 20, False, 2000), (1500, 200, True, 2000), (1500, 300, False, 3), (9000, 1 << 20, True, 8)])
+def test_repeated_passages(spark, awkward, monkeypatch, bucket_bytes, slice_bytes, repeated_ids, hot):
     rnd = random.Random(8)
     rows = []
     for i in range(220):
@@ -203,13 +203,15 @@ def test_repeated_passages(spark, awkward, monkeypatch, bucket_bytes, slice_byte
             a, k = rnd.randint(0, len(other)), rnd.randint(0, len(text))
             text = text[:k] + other[a : a + rnd.randint(20, 150)] + text[k:]
         rows.append((i * 3 - 50, text))
+    common = "a passage that very many of these documents share, word for word, to its end"
+    rows += [(3000 - i, words(rnd, 4) + common + words(rnd, 4)) for i in range(60)]
     rows += [(5000, "a" * 400), (5001, "a" * 200), (5002, "ab" * 200), (5003, "xyz" + "ab" * 100), (5004, "b" * 49), (5005, "b" * 50), (5006, "b" * 50)]
     if repeated_ids:
         rows += [(r["doc_id"], r["text"]) for r in awkward.collect()] + [(rows[9][0], rows[10][1] + "zz"), (rows[9][0], rows[9][1])]
     scan = suffix_dedup._scan
     monkeypatch.setattr(suffix_dedup, "_scan", lambda buckets: scan(buckets, slice_bytes, 20 * slice_bytes))
     df = spark.createDataFrame(rows, DOCS).repartition(4)
-    got = suffix_dedup.digest(suffix_dedup.remove_repeats(df, bucket_bytes))
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(df, bucket_bytes, hot))
     assert sorted(map(tuple, got.collect()), key=str) == repeats_brute(rows)
 
 
