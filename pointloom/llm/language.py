@@ -32,6 +32,8 @@ from pointloom.llm.common import held_out, map_rows
 DIMENSIONS = 4096
 #: Most training rows per language: the bound of the labelled sample.
 PER_LANGUAGE = 300
+#: Languages whose counts are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
 PENALTY = 1e-3
 STEPS = 60
 UNDETERMINED = "und"
@@ -143,6 +145,8 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tup
     ids = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h")).filter("lang is not null").filter(~held_out("doc_id", 5, 0))
     # the hash bound leaves a few times the sample; the count per language comes from all rows
     counts = ids.groupBy("lang").count()
+    if counts.count() <= MOST_BROADCAST:
+        counts = F.broadcast(counts)
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language + 100) / F.col("count"))
     near = ids.join(counts, "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
