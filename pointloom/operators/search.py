@@ -34,6 +34,14 @@ def knn(points: DataFrame, at: Sequence[float], k: int, coordinates: Sequence[st
     return points.withColumn("dist", G.distance([F.col(c) for c in coordinates], at)).orderBy("dist", "id").limit(k)
 
 
+def knn_vectors(points: DataFrame, column: str, at: Sequence[float], k: int, id: str = "id") -> DataFrame:
+    """As ``knn`` for points whose coordinates are an array column; vectors of another length are left out."""
+    pairs = F.zip_with(F.col(column).cast("array<double>"), F.array(*[F.lit(float(v)) for v in at]), lambda a, b: (a - b) * (a - b))
+    square = F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
+    fits = points.filter(F.size(column) == len(at))
+    return fits.withColumn("dist", F.sqrt(square)).orderBy("dist", id).limit(k)
+
+
 def mindist_to_origin(rectangles: DataFrame, low: Sequence[str] = ("x_min", "y_min"), high: Sequence[str] = ("x_max", "y_max")) -> DataFrame:
     """``rectangles`` with ``mindist``, their distance to the origin."""
     return rectangles.withColumn("mindist", G.mindist([F.col(c) for c in low], [F.col(c) for c in high], [0.0] * len(low)))

@@ -24,23 +24,30 @@ STRIPS = 1024
 MERGE = 8
 
 
-def skyline_2d(points: DataFrame, strips: int = STRIPS) -> DataFrame:
-    """id, x, y of the skyline in two dimensions, by built-in aggregation only.
+def skyline_2d(points: DataFrame, strips: int = STRIPS, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, id, x, y of the skyline in two dimensions, one per group of ``by``, by built-in aggregation only.
 
     Each x keeps its least y (map-side).  Points are then cut into strips of x; a point stays if its y is
-    below the least of all strips before and of smaller x in its own.  The table of strip minima has
-    ``strips`` rows, and a strip is sorted by itself, so no task sorts all points.
+    below the least of all strips before and of smaller x in its own.  The table of strip minima has at most
+    ``strips`` rows a group, and a strip is sorted by itself, so no task sorts all points of a group.
     """
-    best = points.groupBy("x").agg(F.min(F.struct("y", "id")).alias("b")).select("x", F.col("b.y").alias("y"), F.col("b.id").alias("id"))
+    by = list(by)
+    best = points.groupBy(*by, "x").agg(F.min(F.struct("y", "id")).alias("b")).select(*by, "x", F.col("b.y").alias("y"), F.col("b.id").alias("id"))
     extent = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
     strip = F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) / width * strips), F.lit(strips - 1)), F.lit(0)).cast("int")
-    cut = best.join(F.broadcast(extent)).select("x", "y", "id", strip.alias("s"))  # one row
-    minima = cut.groupBy("s").agg(F.min("y").alias("m"))
-    before = minima.select("s", F.min("m").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
-    alive = cut.join(F.broadcast(before), "s").filter("above is null or y < above")  # at most ``strips`` rows
-    own = F.min("y").over(Window.partitionBy("s").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    return alive.withColumn("own", own).filter("own is null or y < own").select("id", "x", "y")
+    cut = best.join(F.broadcast(extent)).select(*by, "x", "y", "id", strip.alias("s"))  # one row
+    minima = cut.groupBy(*by, "s").agg(F.min("y").alias("m"))
+    before = minima.select(*by, "s", F.min("m").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
+    if by:
+        keyed = [F.col(c).alias(f"__{c}") for c in by]
+        same = [cut[c].eqNullSafe(F.col(f"__{c}")) for c in by] + [cut["s"] == F.col("__s")]
+        alive = cut.join(before.select(*keyed, F.col("s").alias("__s"), "above"), same).select(*by, cut["x"], cut["y"], cut["id"], cut["s"], "above")
+    else:
+        alive = cut.join(F.broadcast(before), "s")  # at most ``strips`` rows
+    alive = alive.filter("above is null or y < above")
+    own = F.min("y").over(Window.partitionBy(*by, "s").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    return alive.withColumn("own", own).filter("own is null or y < own").select(*by, "id", "x", "y")
 
 
 def _local(d: int):

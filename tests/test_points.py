@@ -68,6 +68,19 @@ def test_skyline_against_brute_force(spark, seed):
     assert ids(skyline.skyline_2d(t, 7)) == ids(skyline.skyline(t, ("x", "y"))) == want
 
 
+def test_skyline_per_group(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "b", None]), float(rnd.randint(-9, 9)), float(rnd.randint(-9, 9))) for i in range(300)]
+    want = []
+    for g in ("a", "b", None):
+        best = {}
+        for i, name, x, y in rows:
+            if name == g:
+                best[x, y] = min(i, best.get((x, y), i))
+        want += [i for (x, y), i in best.items() if not any((a, b) != (x, y) and a <= x and b <= y for a, b in best)]
+    assert ids(skyline.skyline_2d(spark.createDataFrame(rows, P.POINT_SCHEMA), 5, by=("name",))) == sorted(want)
+
+
 def test_skyline_three_dimensions(spark):
     rnd = random.Random(3)
     rows = [(i, *(float(rnd.randint(0, 12)) for _ in range(3))) for i in range(600)]
