@@ -23,6 +23,8 @@ EXACT = (908.8, 20.0)
 #: Small node size of the registered index, so that the test tables give several levels.
 MOST, FILL = 100, 0.85
 CAP, LEAST = 85, 40
+#: Order priorities whose points the registered deletions name.
+GONE = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,19 +52,24 @@ def order_index(spark: SparkSession, sf_dir: str) -> PointIndex:
     return _BUILT[at]
 
 
-def areas(spark: SparkSession) -> DataFrame:
-    rows = [(i, -90.0 + 20 * i, -60.0 + 25 * i, -180.0 + 37 * i, -100.0 + 30 * i) for i in range(9)]
-    return spark.createDataFrame(rows, "area_id long, x_min double, x_max double, y_min double, y_max double")
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query points: every supplier, spread over the globe by its key."""
+    key = F.col("s_suppkey").cast("long")
+    x = (key * 7919 % 1801).cast("double") / F.lit(10.0) - F.lit(90.0)
+    y = (key * 104729 % 3601).cast("double") / F.lit(10.0) - F.lit(180.0)
+    return _read(spark, sf_dir, "supplier").select(key.alias("qid"), x.alias("qx"), y.alias("qy"))
 
 
-def queries_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, -80.0 + 17 * i, -170.0 + 35 * i) for i in range(10)]
-    return spark.createDataFrame(rows, "qid long, qx double, qy double")
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle around every query point."""
+    q = supplier_points(spark, sf_dir)
+    x, y = F.col("qx"), F.col("qy")
+    return q.select(F.col("qid").alias("area_id"), (x - 4).alias("x_min"), (x + 4).alias("x_max"), (y - 7).alias("y_min"), (y + 7).alias("y_max"))
 
 
 def entries_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overfull leaves for the split: customers of each of a few nations."""
-    c = _read(spark, sf_dir, "customer").filter("c_nationkey < 5")
+    """Overfull leaves for the split: the customers of each nation."""
+    c = _read(spark, sf_dir, "customer")
     x, y = F.col("c_acctbal").cast("double"), (F.col("c_custkey") * 37 % 1000).cast("double")
     rows = c.select(F.col("c_nationkey").cast("long").alias("node_id"), F.col("c_custkey").cast("long").alias("id"), x.alias("x"), y.alias("y"))
     return rows.select("node_id", "id", F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
@@ -86,7 +93,7 @@ def range_query_indexed(spark, sf_dir):
 
 
 def range_join(spark, sf_dir):
-    return search.range_join(order_points(spark, sf_dir), areas(spark))
+    return search.range_join(order_points(spark, sf_dir), areas(spark, sf_dir))
 
 
 def point_lookup(spark, sf_dir):
@@ -110,7 +117,7 @@ def knn_indexed(spark, sf_dir):
 
 
 def knn_join(spark, sf_dir):
-    return order_index(spark, sf_dir).knn_join(queries_table(spark), 7)
+    return order_index(spark, sf_dir).knn_join(supplier_points(spark, sf_dir), 7)
 
 
 def skyline_2d(spark, sf_dir):
@@ -139,7 +146,7 @@ def knn_vectors(spark, sf_dir):
 def underfull_leaves(spark, sf_dir):
     """Leaves that a large deletion leaves underfull: what a rebuild has to dissolve."""
     index = order_index(spark, sf_dir)
-    rest = changes.delete(index.layout.select("id", "x", "y", "leaf_id"), index.layout.filter("id % 5 < 3"))
+    rest = changes.delete(index.layout.select("id", "x", "y", "leaf_id"), index.layout.filter(F.col("name").isin(*GONE)))
     leaves = maintenance.bounding_rectangles(rest, "leaf_id").withColumnRenamed("leaf_id", "node_id")
     return maintenance.underfull(leaves.withColumn("parent_id", F.floor(F.col("node_id") / CAP)), LEAST).select("node_id", "n")
 
@@ -147,13 +154,13 @@ def underfull_leaves(spark, sf_dir):
 def rebuilt_after_delete(spark, sf_dir):
     """Leaves of the index packed anew after a deletion."""
     index = order_index(spark, sf_dir)
-    new, _ = index.delete(index.layout.filter("id % 5 < 3"))
+    new, _ = index.delete(index.layout.filter(F.col("name").isin(*GONE)))
     return new.nodes.filter("level = 0").select("node_id", "n", "x_min", "x_max", "y_min", "y_max")
 
 
 def dominated_points(spark, sf_dir):
     some = part_points(spark, sf_dir)
-    return skyline.dominated_by_any(some, some.filter("id % 10 = 3")).select("id", "x", "y")
+    return skyline.dominated_by_any(some, some.select("id", (F.col("x") + 20).alias("x"), (F.col("y") + 5).alias("y"))).select("id", "x", "y")
 
 
 def mindist_origin(spark, sf_dir):
@@ -220,7 +227,7 @@ def tail_rebalance(spark, sf_dir):
 
 def node_intersections(spark, sf_dir):
     r = _nation_rectangles(spark, sf_dir).withColumnRenamed("node_id", "area_id")
-    return rectangle_join(r.filter("area_id < 12"), r).filter("a < b")
+    return rectangle_join(r, r).filter("a < b")
 
 
 def choose_subtree(spark, sf_dir):
@@ -241,19 +248,22 @@ def forced_reinsert(spark, sf_dir):
 
 
 def insert_points(spark, sf_dir):
-    return changes.insert(part_points(spark, sf_dir), order_points(spark, sf_dir).filter("id < 500"))
+    return changes.insert(part_points(spark, sf_dir), order_points(spark, sf_dir))
+
+
+def _deletion(spark, sf_dir):
+    """All points, and keys with every id: the coordinates are right for urgent and high orders only."""
+    p = order_points(spark, sf_dir)
+    right = F.col("name").isin(*GONE)
+    return p, p.select("id", "x", F.when(right, F.col("y")).otherwise(F.col("y") + 1).alias("y"))
 
 
 def delete_points(spark, sf_dir):
-    p = part_points(spark, sf_dir)
-    keys = p.filter("id % 3 = 0").select("id", "x", F.when(F.col("id") % 2 == 0, F.col("y")).otherwise(F.col("y") + 1).alias("y"))
-    return changes.delete(p, keys)
+    return changes.delete(*_deletion(spark, sf_dir))
 
 
 def deleted_points(spark, sf_dir):
-    p = part_points(spark, sf_dir)
-    keys = p.filter("id % 3 = 0").select("id", "x", F.when(F.col("id") % 2 == 0, F.col("y")).otherwise(F.col("y") + 1).alias("y"))
-    return changes.deleted(p, keys).agg(F.count(F.lit(1)).alias("n_deleted"))
+    return changes.deleted(*_deletion(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_deleted"))
 
 
 def name_labels(spark, sf_dir):
@@ -306,11 +316,13 @@ L AS (SELECT *, CAST(CASE WHEN leaves = 0 THEN rank // {CAP}
   WHEN rank < (total % leaves) * (total // leaves + 1) THEN rank // (total // leaves + 1)
   ELSE (total % leaves) + (rank - (total % leaves) * (total // leaves + 1)) // (total // leaves) END AS BIGINT) AS leaf_id FROM H),
 N AS (SELECT leaf_id AS node_id, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM L GROUP BY leaf_id)"""
-_AREAS = "A AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {-90.0 + 20 * i}, {-60.0 + 25 * i}, {-180.0 + 37 * i}, {-100.0 + 30 * i})" for i in range(9)) + ") AS t(area_id, x_min, x_max, y_min, y_max))"
-_QUERIES = "S AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {-80.0 + 17 * i}, {-170.0 + 35 * i})" for i in range(10)) + ") AS t(qid, qx, qy))"
+_SUPPLIERS = """S AS (SELECT CAST(s_suppkey AS BIGINT) AS qid, CAST((CAST(s_suppkey AS BIGINT) * 7919) % 1801 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(90 AS DOUBLE) AS qx,
+  CAST((CAST(s_suppkey AS BIGINT) * 104729) % 3601 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(180 AS DOUBLE) AS qy FROM supplier)"""
+_AREAS = f"{_SUPPLIERS}, A AS (SELECT qid AS area_id, qx - 4 AS x_min, qx + 4 AS x_max, qy - 7 AS y_min, qy + 7 AS y_max FROM S)"
+_GONE = "('1-URGENT', '2-HIGH', '3-MEDIUM')"
 _NATION = """C AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_custkey % 1000 AS DOUBLE) AS y FROM customer WHERE c_acctbal > 0),
 B AS (SELECT node_id, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM C GROUP BY node_id)"""
-_SPLIT = """D AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST((CAST(c_custkey AS BIGINT) * 37) % 1000 AS DOUBLE) AS y FROM customer WHERE c_nationkey < 5),
+_SPLIT = """D AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST((CAST(c_custkey AS BIGINT) * 37) % 1000 AS DOUBLE) AS y FROM customer),
 T AS (SELECT node_id, id, x, y, 0 AS axis, x AS lo FROM D UNION ALL SELECT node_id, id, x, y, 1 AS axis, y AS lo FROM D),
 U AS (SELECT node_id, axis, id, row_number() OVER (PARTITION BY node_id, axis ORDER BY lo, id) AS rank, count(*) OVER (PARTITION BY node_id, axis) AS total,
   min(x) OVER a AS ax0, max(x) OVER a AS ax1, min(y) OVER a AS ay0, max(y) OVER a AS ay1, min(x) OVER b AS bx0, max(x) OVER b AS bx1, min(y) OVER b AS by0, max(y) OVER b AS by1
@@ -329,7 +341,7 @@ def _box(p: str, area) -> str:
     return f"{p}x BETWEEN {a} AND {b} AND {p}y BETWEEN {c} AND {d}"
 
 
-_KEYS = "K AS (SELECT id, x, CASE WHEN id % 2 = 0 THEN y ELSE y + 1 END AS y FROM Q WHERE id % 3 = 0)"
+_KEYS = f"K AS (SELECT id, x, CASE WHEN name IN {_GONE} THEN y ELSE y + 1 END AS y FROM P)"
 _3D = "l_quantity, l_extendedprice, l_discount"
 
 ORACLES = {
@@ -342,15 +354,15 @@ ORACLES = {
     "knn": f"WITH {_P} SELECT id, name, x, y, {_DIST.format(*AT)} AS dist FROM P ORDER BY dist, id LIMIT {K}",
     "knn_ties": f"WITH {_Q} SELECT id, name, x, y, {_DIST.format(910, 20)} AS dist FROM Q ORDER BY dist, id LIMIT 40",
     "knn_indexed": f"WITH {_P} SELECT id, name, x, y, {_DIST.format(*AT)} AS dist FROM P ORDER BY dist, id LIMIT {K}",
-    "knn_join": f"WITH {_P}, {_QUERIES}, G AS (SELECT CAST(qid AS BIGINT) AS qid, id, name, x, y, {_DIST.format('qx', 'qy')} AS dist FROM P, S), O AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank FROM G) SELECT * FROM O WHERE rank <= 7",
+    "knn_join": f"WITH {_P}, {_SUPPLIERS}, G AS (SELECT CAST(qid AS BIGINT) AS qid, id, name, x, y, {_DIST.format('qx', 'qy')} AS dist FROM P, S), O AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank FROM G) SELECT * FROM O WHERE rank <= 7",
     "skyline_2d": f"WITH {_Q}, M AS (SELECT x, y, min(id) AS id FROM Q GROUP BY x, y) SELECT id, x, y FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y))",
     "skyline_indexed": f"WITH {_P}, M AS (SELECT x, y, min(id) AS id FROM P GROUP BY x, y), F AS (SELECT id, x, y, min(y) OVER (ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM M) SELECT id, x, y FROM F WHERE m IS NULL OR y < m",
     "skyline_3d": f"WITH M AS (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_discount AS DOUBLE) AS l_discount, min(CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) AS id FROM lineitem GROUP BY {_3D}) SELECT CAST(id AS BIGINT) AS id, {_3D} FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE b.l_quantity <= a.l_quantity AND b.l_extendedprice <= a.l_extendedprice AND b.l_discount <= a.l_discount AND (b.l_quantity < a.l_quantity OR b.l_extendedprice < a.l_extendedprice OR b.l_discount < a.l_discount))",
     "skyline_per_group": f"WITH {_P}, M AS (SELECT name, x, y, min(id) AS id FROM P GROUP BY name, x, y), F AS (SELECT name, id, x, y, min(y) OVER (PARTITION BY name ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM M) SELECT name, id, x, y FROM F WHERE m IS NULL OR y < m",
     "knn_vectors": "WITH U AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS i FROM embeddings), D AS (SELECT id, sqrt(sum((v - (0.05 * (i % 7) - 0.1)) * (v - (0.05 * (i % 7) - 0.1)))) AS dist FROM U GROUP BY id) SELECT id, round(CAST(dist AS DOUBLE), 6) AS dist FROM (SELECT * FROM D ORDER BY dist, id LIMIT 12)",
-    "underfull_leaves": f"WITH {_Z}, U AS (SELECT leaf_id AS node_id, count(*) AS n FROM L WHERE id % 5 >= 3 GROUP BY leaf_id) SELECT node_id, n FROM U WHERE n < {LEAST}",
-    "rebuilt_after_delete": f"WITH {_Z.replace('FROM orders)', 'FROM orders WHERE o_orderkey % 5 >= 3)')} SELECT * FROM N",
-    "dominated_points": f"WITH {_Q} SELECT id, x, y FROM Q a WHERE EXISTS (SELECT 1 FROM Q b WHERE b.id % 10 = 3 AND b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y))",
+    "underfull_leaves": f"WITH {_Z}, U AS (SELECT leaf_id AS node_id, count(*) AS n FROM L WHERE name NOT IN {_GONE} GROUP BY leaf_id) SELECT node_id, n FROM U WHERE n < {LEAST}",
+    "rebuilt_after_delete": f"WITH {_Z.replace('FROM orders)', 'FROM orders WHERE o_orderpriority NOT IN ' + _GONE + ')')} SELECT * FROM N",
+    "dominated_points": f"WITH {_Q} SELECT id, x, y FROM Q a WHERE EXISTS (SELECT 1 FROM Q b WHERE b.x + 20 <= a.x AND b.y + 5 <= a.y AND (b.x + 20 < a.x OR b.y + 5 < a.y))",
     "mindist_origin": f"WITH {_NATION} SELECT node_id, sqrt(greatest(x_min, -x_max, 0) * greatest(x_min, -x_max, 0) + greatest(y_min, -y_max, 0) * greatest(y_min, -y_max, 0)) AS mindist FROM B",
     "node_rectangles": f"WITH {_NATION} SELECT * FROM B",
     "root_rectangle": f"WITH RECURSIVE {_Z}, T(h, m) AS (SELECT CAST(1 AS INTEGER), count(*) FROM N UNION ALL SELECT h + 1, (m + {CAP} - 1) // {CAP} FROM T WHERE m > 1) SELECT CAST((SELECT count(*) FROM P) AS BIGINT) AS points, count(*) AS num_leaves, (SELECT CAST(max(h) AS INTEGER) FROM T) AS height, min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max FROM N",
@@ -364,14 +376,14 @@ ORACLES = {
     "upper_rectangles": f"WITH {_Z} SELECT CAST(node_id // {CAP} AS BIGINT) AS node_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS points, min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max FROM N GROUP BY node_id // {CAP}",
     "level_statistics": f"WITH {_Z} SELECT CAST(0 AS INTEGER) AS level, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS entries, min(n) AS fewest, max(n) AS largest FROM N",
     "tail_rebalance": f"WITH {_Q}, R AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank, count(*) OVER () AS total FROM Q), H AS (SELECT *, CASE WHEN total > 141 AND total % 141 > 0 AND total % 141 < 66 THEN ntile((SELECT (count(*) + 140) // 141 FROM Q)) OVER (ORDER BY id) - 1 ELSE rank // 141 END AS leaf FROM R) SELECT CAST(leaf AS BIGINT) AS leaf_id, count(*) AS n, min(id) AS first_id FROM H GROUP BY leaf",
-    "node_intersections": f"WITH {_NATION} SELECT a.node_id AS a, b.node_id AS b FROM B a JOIN B b ON a.node_id < 12 AND a.node_id < b.node_id AND a.x_min <= b.x_max AND b.x_min <= a.x_max AND a.y_min <= b.y_max AND b.y_min <= a.y_max",
+    "node_intersections": f"WITH {_NATION} SELECT a.node_id AS a, b.node_id AS b FROM B a JOIN B b ON a.node_id < b.node_id AND a.x_min <= b.x_max AND b.x_min <= a.x_max AND a.y_min <= b.y_max AND b.y_min <= a.y_max",
     "choose_subtree": f"WITH {_Q}, {_NATION}, N AS (SELECT id, x * 9 - 8000 AS x, y * 20 AS y FROM Q), G AS (SELECT id, node_id, (greatest(x_max, x) - least(x_min, x)) * (greatest(y_max, y) - least(y_min, y)) - (x_max - x_min) * (y_max - y_min) AS enlargement FROM N, B), O AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY enlargement, node_id) AS r FROM G) SELECT id, node_id, enlargement FROM O WHERE r = 1",
     "split_choice": f"WITH {_SPLIT} SELECT node_id, CAST(axis AS INTEGER) AS axis, CAST(cut AS INTEGER) AS cut FROM W",
     "split_sides": f"WITH {_SPLIT} SELECT U.node_id AS node_id, U.id AS id, CAST(CASE WHEN U.rank <= W.cut THEN 1 ELSE 2 END AS INTEGER) AS side FROM U JOIN W ON U.node_id = W.node_id AND U.axis = W.axis",
-    "forced_reinsert": "WITH D AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST((CAST(c_custkey AS BIGINT) * 37) % 1000 AS DOUBLE) AS y FROM customer WHERE c_nationkey < 5), M AS (SELECT *, (min(x) OVER w + max(x) OVER w) / 2 AS mx, (min(y) OVER w + max(y) OVER w) / 2 AS my, count(*) OVER w AS n FROM D WINDOW w AS (PARTITION BY node_id)), F AS (SELECT *, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS dist FROM M), O AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY dist DESC, id) AS r FROM F) SELECT node_id, id, dist FROM O WHERE r <= n // 3",
-    "insert_points": f"WITH {_Q}, {_P} SELECT id, name, x, y FROM Q UNION ALL SELECT id, name, x, y FROM P WHERE id < 500",
-    "delete_points": f"WITH {_Q}, {_KEYS} SELECT id, name, x, y FROM Q WHERE NOT EXISTS (SELECT 1 FROM K WHERE K.id = Q.id AND K.x = Q.x AND K.y = Q.y)",
-    "deleted_points": f"WITH {_Q}, {_KEYS} SELECT count(*) AS n_deleted FROM Q WHERE EXISTS (SELECT 1 FROM K WHERE K.id = Q.id AND K.x = Q.x AND K.y = Q.y)",
+    "forced_reinsert": "WITH D AS (SELECT CAST(c_nationkey AS BIGINT) AS node_id, CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST((CAST(c_custkey AS BIGINT) * 37) % 1000 AS DOUBLE) AS y FROM customer), M AS (SELECT *, (min(x) OVER w + max(x) OVER w) / 2 AS mx, (min(y) OVER w + max(y) OVER w) / 2 AS my, count(*) OVER w AS n FROM D WINDOW w AS (PARTITION BY node_id)), F AS (SELECT *, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS dist FROM M), O AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY dist DESC, id) AS r FROM F) SELECT node_id, id, dist FROM O WHERE r <= n // 3",
+    "insert_points": f"WITH {_Q}, {_P} SELECT id, name, x, y FROM Q UNION ALL SELECT id, name, x, y FROM P",
+    "delete_points": f"WITH {_P}, {_KEYS} SELECT id, name, x, y FROM P WHERE NOT EXISTS (SELECT 1 FROM K WHERE K.id = P.id AND K.x = P.x AND K.y = P.y)",
+    "deleted_points": f"WITH {_P}, {_KEYS} SELECT count(*) AS n_deleted FROM P WHERE EXISTS (SELECT 1 FROM K WHERE K.id = P.id AND K.x = P.x AND K.y = P.y)",
     "name_labels": f"WITH {_Q} SELECT id, concat('name ', CAST(1 + id % 8 AS VARCHAR)) AS name FROM Q",
     "stored_names": f"WITH {_Q} SELECT id, substr(concat(name, ' with a longer tail'), 1, 30) AS name FROM Q",
     "rectangle_measures": f"WITH {_NATION} SELECT node_id, (x_max - x_min) * (y_max - y_min) AS area, (x_max - x_min) + (y_max - y_min) AS margin, greatest(least(x_max, 5000) - greatest(x_min, 0), 0) * greatest(least(y_max, 500) - greatest(y_min, 0), 0) AS overlap, (x_min + x_max) / 2 AS centre_x, (y_min + y_max) / 2 AS centre_y, sqrt(greatest(abs(x_min), abs(x_max)) * greatest(abs(x_min), abs(x_max)) + greatest(abs(y_min), abs(y_max)) * greatest(abs(y_min), abs(y_max))) AS maxdist FROM B",
