@@ -3,7 +3,8 @@
 1. Every page is tokenised once into a tree of containers.  A container's *path* is generalised:
    tag names from the body down, each with its classes and ids where digits become ``#``.
    Containers are scored by their own readable text (length less link text, more for paragraphs
-   and sentence marks), damped by each step away from the text and by links.
+   and sentence marks), damped by each step away from the text and by links; holding the
+   heading (h1, h2) itself counts for a container, being one of several on the same path against it.
 2. Pages vote: a page gives its leading containers' paths their scores, and Spark adds votes per
    host and path (map-side first, so a host with a third of all pages is no hot key).
 3. Each host's winning path goes back to its pages, which are read again: every container on
@@ -30,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import map_rows
+from pointloom.llm.common import map_rows, materialise
 
+#: Bytes of winning paths that are broadcast at most.
+MOST_BROADCAST = 8 << 20
 #: Elements whose content is never read as markup.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -49,7 +52,7 @@ SKIPPED = {"nav", "header", "footer", "aside", "form", "script", "style", "noscr
 BOILERPLATE_WORDS = (
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "sponsor", "sponsored", "promo", "promotion",
     "promoted", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "rail", "widget", "widgets",
-    "footer", "foot", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies",
+    "footer", "foot", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "responses", "disqus", "respond", "reply", "replies",
     "discussion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay",
     "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "popular",
     "trending", "pagination", "pager", "copyright", "legal", "disclaimer", "search", "tags", "contentinfo", "complementary", "hidden", "feedback",
@@ -206,10 +209,11 @@ def candidates(root: Node) -> dict[str, tuple[float, list[Node]]]:
         if node.skipped:
             continue
         if node.tag in CONTAINER or node is root:
-            own[id(node)] = [0.0, 0.0, holder]
+            own[id(node)] = [0.0, 0.0, holder, False]
             order.append((node, path))
             holder = node
         tally = own[id(holder)]
+        tally[3] |= node.tag in {"h1", "h2"}
         for item in node.items:
             if isinstance(item, str):
                 n = len(item.strip())
@@ -220,7 +224,7 @@ def candidates(root: Node) -> dict[str, tuple[float, list[Node]]]:
                 stack.append((item, f"{path}>{item.step}" if item.tag in CONTAINER or item.tag in {"main"} else path, holder, link or item.tag == "a"))
     total: dict[int, list[float]] = {}
     for node, _ in reversed(order):  # children come after their parents
-        text, links, holder = own[id(node)]
+        text, links, holder, _ = own[id(node)]
         t = total.setdefault(id(node), [0.0, 0.0, 0.0])
         t[0] += text
         t[1] += links
@@ -234,10 +238,12 @@ def candidates(root: Node) -> dict[str, tuple[float, list[Node]]]:
     for node, path in order:
         text, links, damped = total[id(node)]
         bonus = 1.5 if node.tag in {"article", "main"} else 0.7 if node is root else 1.0
+        bonus *= 1.4 if own[id(node)][3] else 1.0
         score = bonus * damped * (1 - links / (text + links)) if text else 0.0
         if score > 0:
             held = out.get(path, (0.0, []))
-            out[path] = (held[0] + score, [*held[1], node])
+            # several parts weigh less than the container around them, which holds what is between them
+            out[path] = (max(held[0], score) + 0.5 * min(held[0], score), [*held[1], node])
     return out
 
 
@@ -300,7 +306,10 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path (the consensus path of the page's host) for every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
-    joined = rows.join(winning_paths(pages).select("host", "path"), "host", "left")
+    # written, so that a join by shuffle can split a hot host; broadcast while the table is small
+    winners = materialise(winning_paths(pages).select("host", "path"), "host-paths")
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(winners) if size <= MOST_BROADCAST else winners, "host", "left")
 
     def one(batch: pa.RecordBatch) -> dict:
         texts = [extract(page, path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
