@@ -89,10 +89,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     Of rows that share the smallest id of a group, one stays as well.
     """
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__loom_id"), F.col("text_sha256").alias("__loom_sha")).distinct()
+    found = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("__loom_id"), F.col("text_sha256").alias("__loom_sha")).agg(F.count(F.lit(1)).alias("__loom_n"))
+    stay = materialise(found, "kept-copies")
     keyed = docs.withColumn("__loom_key", F.sha2(normalised().cast("binary"), 256))
     out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__loom_id")) & (F.col("__loom_key") == F.col("__loom_sha")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__loom_key"]).drop("__loom_key")
+    if not stay.filter("__loom_n > 1").isEmpty():  # the same row several times: the text moves once more
+        out = out.dropDuplicates(["doc_id", "__loom_key"])
+    return out.drop("__loom_key")
 
 
 ORACLE = r"""
