@@ -289,6 +289,14 @@ def test_zero_extent(spark):
     assert [r["id"] for r in index.knn((0, 0), 3).collect()] == [0, 1, 2] and index.range_query(((1, 1), (1, 1))).count() == 30
 
 
+def test_intermediate_tables_can_be_removed(spark):
+    from pointloom.plans import registry, storage
+
+    assert storage.materialise(spark.range(3).toDF("id"), "some").count() == 3
+    assert storage.clean(spark) and not storage.clean(spark)
+    registry._BUILT.clear()
+
+
 def test_stream_append(spark, tmp_path):
     from pointloom.streaming import ingest
 
