@@ -69,7 +69,7 @@ def test_personal_base_spans():
         text = "".join(rnd.choice("ab@@..1234+- ()é") for _ in range(rnd.randint(0, 30)))
         assert pii.base_spans(text) == pii_brute(text), text
     card = "4111111111111111"
-    for text in (f"x {card} y", f"{card} {card}", "4111-1111-1111-1111", "1.2.3.4.5.6.7.8", "a@b.c@d.e", "+1 (234) 555-7890.", "²²²²²²²²²²²²²²²²", "0" * 5000 + ".1.1.1"):
+    for text in (f"x {card} y", f"{card} {card}", "4111-1111-1111-1111", "1.2.3.4.5.6.7.8", "a@b.c@d.e", "+1 (234) 555-7890.", "²²²²²²²²²²²²²²²²", "0" * 3000 + ".1.1.1"):
         assert pii.base_spans(text) == pii_brute(text), text
 
 
