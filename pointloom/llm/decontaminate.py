@@ -6,8 +6,9 @@ spaces, UTF-8).  An item of n bytes has an error budget k = floor(``ERROR_RATE``
 with at most k errors holds at least one piece unchanged.  All pieces go into one Aho-Corasick
 automaton that reads every whole document once.  A hit is verified upwards: pieces are the leaves
 of a tree whose inner nodes hold k1 + k2 + 1 errors where their halves hold k1 and k2, so an
-occurrence within budget has a leaf all of whose ancestors are within theirs; Myers' algorithm
-tries the smallest ancestor first and most chance hits end there.  Places of the whole item that
+occurrence within budget has a leaf all of whose ancestors are within theirs.  Most leaves stand in
+pairs of budget one: the partner is compared beside the hit first, where nearly all chance hits end, then
+Myers' algorithm tries the ancestors from small to large.  Places of the whole item that
 are left merge where they overlap, and Myers' algorithm gives the least distance to any stretch.
 
 The benchmark is read in blocks of items: a block is broadcast while its pieces stay under
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import map_rows
 
-ERROR_RATE = 0.1
+ERROR_RATE = 0.12
 LEAST_BYTES = 24
 BLOCK_BYTES = 8 << 20
 _CLEAN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -89,11 +90,25 @@ def ancestry(a: int, b: int, k: int, above: tuple = ()) -> Iterator[tuple[int, i
         yield a, b, above
         return
     left = (k - 1) // 2
+    left -= left > 0 and left % 2 == 0  # odd budgets split into pairs of leaves without a rest
     cut = a + (b - a) * (left + 1) // (k + 1)
     for low, high, errors in ((a, cut, left), (cut, b, k - 1 - left)):
         yield from ancestry(low, high, errors, ((low, high, errors), *above) if errors else above)
 
 
+def within_one(want: bytes, text: bytes) -> bool:
+    """Whether ``text`` begins with ``want``, give or take one edit."""
+    m, i = len(want), 0
+    for a, b in zip(want, text):
+        if a != b:
+            break
+        i += 1
+    if i == m:
+        return True
+    rest = want[i + 1 :]
+    return rest == text[i + 1 : m] or rest == text[i : m - 1] or want[i:] == text[i + 1 : m + 1]
+
+
 class Matcher:
     """Finds the items of one block in a text; built in each worker from (item_id, bytes)."""
 
@@ -104,8 +119,11 @@ class Matcher:
         for number, (_, text, k, _) in enumerate(self.items):
             nodes: dict[tuple[int, int, int], tuple] = {}
             for low, high, above in ancestry(0, len(text), k):
-                tests = [nodes.setdefault(n, (n[0], n[1], n[2], text[n[0] : n[1]], masks_of(text[n[0] : n[1]]))) for n in above]
-                where.setdefault(text[low:high], []).append((number, high, tests))
+                pair = above[0] if above and above[0][2] == 1 else None
+                after = text[high : pair[1]] if pair and pair[0] == low else None
+                before = text[pair[0] : low][::-1] if pair and pair[1] == high else None
+                tests = [nodes.setdefault(n, (n[0], n[1], n[2], text[n[0] : n[1]], masks_of(text[n[0] : n[1]]))) for n in above[1 if pair else 0 :]]
+                where.setdefault(text[low:high], []).append((number, high, high - low, after, before, tests))
         for piece, places in where.items():
             self.automaton.add_word(piece.decode("latin-1"), places)
         if where:
@@ -115,8 +133,16 @@ class Matcher:
         """(item_id, distance, end of the first best stretch, places verified) of the items found."""
         starts: dict[int, list[int]] = {}
         for end, places in self.automaton.iter(text.decode("latin-1")) if self.items else ():
-            for number, behind, tests in places:
-                at = end + 1 - behind
+            for number, behind, size, after, before, tests in places:
+                end1 = end + 1
+                if after is not None:
+                    if not within_one(after, text[end1 : end1 + len(after) + 1]):
+                        continue
+                elif before is not None:
+                    start = end1 - size
+                    if not within_one(before, text[max(0, start - len(before) - 1) : start][::-1]):
+                        continue
+                at = end1 - behind
                 for low, high, k, part, masks in tests:
                     if myers(part, masks, text[max(0, at + low - k) : max(0, at + high + k)], k)[0] > k:
                         break

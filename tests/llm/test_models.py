@@ -138,6 +138,31 @@ def test_myers_against_dynamic_programming():
         assert decontaminate.myers(p, decontaminate.masks_of(p), t, 99)[0] == distance_brute(p, t)
 
 
+def test_partner_with_one_edit():
+    def whole(p, t):
+        last = list(range(len(t) + 1))
+        for i in range(1, len(p) + 1):
+            row = [i]
+            for j in range(1, len(t) + 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p[i - 1] != t[j - 1])))
+            last = row
+        return last[-1]
+
+    rnd = random.Random(6)
+    for _ in range(4000):
+        want, text = (bytes(rnd.choice(b"ab") for _ in range(n)) for n in (rnd.randint(1, 7), rnd.randint(0, 9)))
+        text = text[: len(want) + 1]
+        assert decontaminate.within_one(want, text) == any(whole(want, text[:j]) <= 1 for j in range(len(text) + 1)), (want, text)
+
+
+@pytest.mark.parametrize("k", range(0, 30))
+def test_leaves_cover_an_item(k):
+    leaves = list(decontaminate.ancestry(0, 400, k))
+    assert len(leaves) == k + 1 and [a for a, _, _ in leaves] == [0] + [b for _, b, _ in leaves[:-1]] and leaves[-1][1] == 400
+    for a, b, above in leaves:
+        assert all(low <= a and b <= high for low, high, _ in above) and [n[2] for n in above] == sorted(n[2] for n in above)
+
+
 def test_matches_against_brute_force(spark, awkward):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
