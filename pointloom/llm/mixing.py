@@ -10,7 +10,7 @@ convex problem gives exponentially tilted odds, r_i / (M - r_i) = exp(l_s * z_i)
 z_i is the size over the source's mean size and M the most copies.  The dual has one variable per
 source, and Newton steps (kept inside a bracket) find it: each step is one Spark aggregation of
 the token sum and its derivative over a written (source, size, count) table, much smaller than
-the documents; per source three numbers come to the driver.
+the documents; per source a few numbers come to the driver, which holds the list of sources.
 
 Copies.  Rates are rounded to whole copies by systematic sampling: inside cells of a few
 thousand documents of one source, ordered by size, fractions accumulate and a further copy falls
@@ -41,6 +41,8 @@ CELL_ROWS = 4000
 STARTS = 16
 UNIT = 1 << 20
 MOST_STEPS = 60
+#: Sources whose targets are broadcast at most.
+MOST_BROADCAST = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -110,7 +112,12 @@ def tilted(value: F.Column, size: F.Column, mean: F.Column) -> F.Column:
 
 def _table(spark, duals: dict[str | None, Dual], columns) -> DataFrame:
     schema = "s string, mean double, target double, words long, documents long, value double"
-    return spark.createDataFrame([(s, d.mean, d.target, d.words, d.documents, d.value) for s, d in duals.items()], schema).select(*columns)
+    return _small(spark.createDataFrame([(s, d.mean, d.target, d.words, d.documents, d.value) for s, d in duals.items()], schema), len(duals)).select(*columns)
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast while there are few sources; joined by a shuffle else."""
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
 def solve(histogram: DataFrame) -> dict[str | None, Dual]:
@@ -157,7 +164,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     sums = celled.groupBy("s").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * (F.col("whole") + further(k))).alias(f"w{k}") for k in range(STARTS)]).collect()
     best = [(r["s"], min(range(STARTS), key=lambda k: (abs(r[f"w{k}"] - r["target"]), k))) for r in sums]
-    chosen = spark.createDataFrame(best, "t2 string, start int")
+    chosen = _small(spark.createDataFrame(best, "t2 string, start int"), len(best))
     extra = F.coalesce(*[F.when(F.col("start") == k, further(k)) for k in range(STARTS)])
     out = celled.join(chosen, F.col("s").eqNullSafe(F.col("t2"))).withColumn("copies", F.least(F.col("whole") + extra, F.lit(MOST_COPIES).cast("long")))
     return out.select("doc_id", "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("s").alias("source"), (F.col("units") / UNIT).alias("rate"), "copies")
