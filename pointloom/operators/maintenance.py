@@ -51,7 +51,9 @@ def split(entries: DataFrame, least: int) -> DataFrame:
     """
     axes = [entries.select("*", F.lit(a).alias("axis"), F.col(f"{c}_min").alias("lo"), F.col(f"{c}_max").alias("hi")) for a, c in ((0, "x"), (1, "y"))]
     ordered = Window.partitionBy("node_id", "axis").orderBy("lo", "hi", "id")
-    upto, beyond = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(1, Window.unboundedFollowing)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    # what follows, as what precedes in the opposite order: running minima, not one scan per row
+    beyond = Window.partitionBy("node_id", "axis").orderBy(F.desc("lo"), F.desc("hi"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     rows = axes[0].unionByName(axes[1])
     first = [F.min(c).over(upto).alias(f"a_{c}") for c in LOW] + [F.max(c).over(upto).alias(f"a_{c}") for c in HIGH]
     second = [F.min(c).over(beyond).alias(f"b_{c}") for c in LOW] + [F.max(c).over(beyond).alias(f"b_{c}") for c in HIGH]
