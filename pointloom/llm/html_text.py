@@ -13,7 +13,8 @@
 
 Extraction leaves out what is not the article inside a container as well: navigation, headers,
 footers, asides, forms, scripts, styles, and containers whose class, id or role names a menu,
-sidebar, notice, advert, share bar or reader comments.  Character references are decoded, white
+sidebar, notice, advert, share bar or reader comments (unless it holds the page's h1 and half of its text: a
+wrapper with an unlucky name).  Character references are decoded, white
 space inside a block becomes one space, blocks are trimmed and joined by one newline.
 
 Edge cases: null, empty and tagless html (a text without markup is one block) never fail; unclosed
@@ -76,10 +77,11 @@ _SENTENCE = re.compile(r"[.,;:!?。、]")
 class Node:
     """An element: its generalised step, parent, and children and texts in page order."""
 
-    __slots__ = ("tag", "step", "parent", "items", "skipped")
+    __slots__ = ("tag", "step", "parent", "items", "skipped", "named")
 
-    def __init__(self, tag: str, step: str, parent: Node | None, skipped: bool):
+    def __init__(self, tag: str, step: str, parent: Node | None, skipped: bool, named: bool = False):
         self.tag, self.step, self.parent, self.items, self.skipped = tag, step, parent, [], skipped
+        self.named = named  # skipped for its class, id or role alone
 
 
 def _marks(tag: str, attributes: str) -> tuple[str, set[str], bool]:
@@ -104,7 +106,7 @@ def parse(page: str | None) -> Node:
     """The tree of a page; the root is a ``body`` step that holds everything outside the head."""
     page = page or ""
     root = Node("body", "body", None, False)
-    at, node, in_article = 0, root, 0
+    at, node, named = 0, root, False
 
     def close(tag: str, limit: set[str]) -> bool:
         nonlocal node
@@ -118,7 +120,7 @@ def parse(page: str | None) -> Node:
             up = up.parent
         return False
 
-    end, size = 0, len(page)
+    size = len(page)
     while at < size:
         found = _TOKEN.search(page, at)
         if not found:
@@ -154,16 +156,34 @@ def parse(page: str | None) -> Node:
             while up is not root and bad:
                 bad = up.tag != "article"
                 up = up.parent
-        child = Node(tag, step, node, bad)
+        child = Node(tag, step, node, bad, bad and tag not in SKIPPED and not hidden)
+        named |= child.named
         node.items.append(child)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
             at = stop.end() if stop else size
         elif not (found[3] or "").endswith("/") or tag not in {"svg", "path"}:
             node = child
+    if named:
+        _readmit(root)
     return root
 
 
+def _readmit(root: Node) -> None:
+    """Take back wrappers skipped for their names that hold the h1 and half of the page's text."""
+    order = _in_order(root)
+    length, head = {}, {}
+    for node in reversed(order):
+        n, h = sum(len(i.strip()) for i in node.items if isinstance(i, str)), node.tag == "h1"
+        for child in node.items:
+            if not isinstance(child, str) and (not child.skipped or child.named):
+                n, h = n + length[id(child)], h or head[id(child)]
+        length[id(node)], head[id(node)] = n, h
+    for node in order:
+        if node.named and head[id(node)] and 2 * length[id(node)] >= length[id(root)]:
+            node.skipped = False
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks of ``node`` in page order, cleaned; empty ones left out."""
     out, run = [], []

@@ -103,6 +103,11 @@ def test_extraction_leaves_the_rest_out():
     assert html_text.best_path(PAGE)[0][0] == "body>div#main-#>article.post-#"
 
 
+def test_wrapper_with_an_unlucky_name():
+    page = "<body><div class='page widget-wrap'><div class=post><h1>T</h1><p>" + "Some words, here. " * 9 + "</p></div><div class=sidebar><h2>x</h2>Rail</div></div><div class=comments><p>" + "Nice. " * 9 + "</p></div></body>"
+    assert html_text.extract(page) == "T\n" + ("Some words, here. " * 9).strip()
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>open <b>x", "open x"), ("a < b and <3 c", "a < b and <3 c"), ("<div" * 3, "<div<div<div"), ("<p>a</p></p></div><p>b", "a\nb"), ("<!-- x --><script>no</script>", ""), ("<p>&#233;&eacute;&amp;amp;", "éé&amp;")])
 def test_broken_pages(page, want):
     assert html_text.extract(page) == want
