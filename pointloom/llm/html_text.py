@@ -14,7 +14,8 @@
 Extraction leaves out what is not the article inside a container as well: navigation, headers,
 footers, asides, forms, scripts, styles, and containers whose class, id or role names a menu,
 sidebar, notice, advert, share bar or reader comments (unless it holds the page's h1 and half of its text: a
-wrapper with an unlucky name).  Character references are decoded, white
+wrapper with an unlucky name).  A name counts as a whole or, on elements that group others, by its first or last
+word; ids of headings and other text never count, and inside an article only those that are hardly a title's slug.  Character references are decoded, white
 space inside a block becomes one space, blocks are trimmed and joined by one newline.
 
 Edge cases: null, empty and tagless html (a text without markup is one block) never fail; unclosed
@@ -60,6 +61,12 @@ BOILERPLATE_WORDS = (
     "paywall", "outbrain", "taboola", "skip",
 )
 _WORDS = frozenset(BOILERPLATE_WORDS)
+#: Of these, words that count only as a whole name ("overflow-hidden", "side-note" and "legal-basis" are no marks).
+_WHOLE_ONLY = frozenset({"discussion", "hidden", "legal", "side"})
+#: Words that count as an id inside an article, where ids are mostly slugs of titles.
+_SURE_IDS = frozenset({"ad", "ads", "adsense", "adslot", "breadcrumb", "breadcrumbs", "comments", "commentlist", "disqus", "menubar", "navbar", "newsletter", "outbrain", "pager", "pagination", "paywall", "popup", "respond", "sidebar", "subscribe", "taboola", "toolbar", "widget", "widgets"})
+#: Elements that group others; the rest are text, on which only whole classes and roles count.
+_GROUPS = {"address", "center", "dd", "details", "div", "dl", "dt", "figure", "header", "li", "main", "ol", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Further words that count only on containers outside an article ("header" may be an article's own).
 _TOP_WORDS = frozenset({"header", "head", "top", "bottom", "meta", "site"})
 #: Tags that an opening tag of the key closes when open just above it.
@@ -84,11 +91,35 @@ class Node:
         self.named = named  # skipped for its class, id or role alone
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, set[str], bool]:
-    """(generalised step, words of class, id and role, hidden) of a tag."""
+def _says(name: str, marks: frozenset[str], parts: bool) -> bool:
+    """Whether a class, id or role is one of ``marks``, or with ``parts`` begins or ends with one."""
+    words = [w.lower() for w in _SPLIT.split(name) if w]
+    if "".join(words) in marks:
+        return name.lower() == "hidden" or "".join(words) != "hidden"
+    if not parts or not words:
+        return False
+    first = next((w for w in words if len(w) > 2 or w in marks), "")  # behind prefixes as in "c-share-bar"
+    return any(w in marks and w not in _WHOLE_ONLY for w in (first, words[-1]))
+
+
+def _boilerplate(tag: str, named: list[tuple[str, str]], above: Node | None) -> bool:
+    """Whether the (attribute, name) pairs of a tag below ``above`` mark what is not the article."""
+    group = tag in _GROUPS
+    if any(_says(name, _WORDS, group) for kind, name in named if kind != "id"):
+        return True
+    ids = [name for kind, name in named if kind == "id" and group]
+    if not any(_says(name, _WORDS, True) for name in ids):
+        return False
+    while above is not None and above.tag not in {"article", "main"}:
+        above = above.parent
+    return above is None or any(_says(name, _SURE_IDS, tag != "section") for name in ids)
+
+
+def _marks(tag: str, attributes: str) -> tuple[str, set[str], bool, list[tuple[str, str]]]:
+    """(generalised step, words of class, id and role, hidden, (attribute, name) pairs) of a tag."""
     if not attributes or attributes.isspace():
-        return tag, set(), False
-    names, words, hidden = [], set(), False
+        return tag, set(), False, []
+    names, words, hidden, named = [], set(), False, []
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(a or b or c)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -97,9 +128,10 @@ def _marks(tag: str, attributes: str) -> tuple[str, set[str], bool]:
             hidden |= "display:none" in value.replace(" ", "").lower()
         elif name != "aria-hidden":
             words.update(w.lower() for w in _SPLIT.split(value) if w)
+            named += [(name, v) for v in value.split()]
             if name != "role":
                 names += [("." if name == "class" else "#") + _DIGITS.sub("#", v) for v in value.split()]
-    return tag + "".join(sorted(set(names))), words, hidden
+    return tag + "".join(sorted(set(names))), words, hidden, named
 
 
 def parse(page: str | None) -> Node:
@@ -147,11 +179,11 @@ def parse(page: str | None) -> Node:
         if tag == "br" or tag == "hr" or tag in VOID:
             node.items.append(Node(tag, tag, node, tag == "input"))
             continue
-        step, words, hidden = _marks(tag, found[3] or "")
+        step, words, hidden, names = _marks(tag, found[3] or "")
         bad = tag in SKIPPED or hidden
         if words and not bad and tag != "article":
-            bad = bool(words & _WORDS) or tag in CONTAINER and node is root and bool(words & _TOP_WORDS)
-        if tag == "header" and not hidden and not words & _WORDS:
+            bad = _boilerplate(tag, names, node) or tag in CONTAINER and node is root and bool(words & _TOP_WORDS)
+        if tag == "header" and not hidden and not _boilerplate(tag, names, node):
             up, bad = node, True
             while up is not root and bad:
                 bad = up.tag != "article"
