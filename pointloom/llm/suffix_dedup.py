@@ -13,21 +13,22 @@ bytes meet:
    that a third of all documents share is a row per task, not per document.
 2. *Repeated anchors* (hashes of two documents or more) go back to their documents, which cut the
    surroundings: every window that holds the anchor, at most ``LENGTH - GRAM`` bytes before and
-   ``LENGTH`` from it on.  Equal surroundings in one shard are sent once, by their first document;
-   in the others all windows are repeats already.
-3. *Suffix order.*  A bucket sorts the suffixes of its surroundings.  Within stretches of suffix
-   order whose common prefixes reach ``LENGTH``, a suffix has an earlier match exactly if the
-   previous or the next smaller position (by document) lies in the stretch: its longest previous
-   factor then reaches ``LENGTH``, and its bytes are marked.
-4. *Hot anchors*, met in ``HOT_SHARE`` of all documents, would put that share of all surroundings into
-   one bucket: the ends of a common passage differ in every document.  Their buckets name them to all
-   shards (there are at most anchors-per-document / ``HOT_SHARE`` of them), and each window that holds one
-   goes, as a 128-bit digest, to a bucket of its own by content instead.
+   ``LENGTH`` from it on.  Of surroundings repeated in one shard only the first document's are sent.
+3. *Suffix arrays.*  A bucket joins its surroundings in order of documents.  Suffixes that share ``LENGTH`` bytes stand at
+   the same offset from their anchor, so the suffixes of each offset have a suffix array of their own: that of the anchors
+   is sorted by words, each further offset's is induced from the one before by a stable sort of the byte put in front.
+   From the common prefixes of neighbours and the previous and next smaller *positions* (by document, copies inside one document do not count)
+   follows each suffix's longest previous factor, counted up to ``LENGTH``; where it reaches that, its bytes are marked.
+4. *Hot anchors*, met ``hot_least`` times and in 1 of ``MOST_HOT`` of all bytes, would put that share of all surroundings into
+   one bucket: the ends of a common passage differ in every document.  Their windows go, as bytes, to buckets by
+   content instead, where their suffix array is sorted the same way.  There are at most ``MOST_HOT`` of them, and the table of
+   their codes (eight bytes each) goes to every task.
 5. Marks return to the documents and are joined; the text moves once (both returns use one exchange).
 
 Buckets and shards are as many as the total bytes ask for (a prime near one for each ``BUCKET_BYTES``), so a
-task's memory does not grow with the corpus.  A row is known by its doc_id alone; only where ids repeat
-(counted first) a hash of the text, the *tag*, stands beside it.
+task's memory does not grow with the corpus.  With more than ``RANGES`` of them rows are dealt in two steps, to ranges of
+buckets first and inside the ranges then, so the number of packets a task writes does not grow with the corpus either.
+A row is known by its doc_id alone; only where ids repeat (counted first) a hash of the text, the *tag*, stands beside it.
 
 Edge cases: null and empty texts have no bytes and give a row; rows with a null doc_id are
 neither earlier nor later than any and keep all bytes; repeated rows are no earlier than each
@@ -41,10 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import text_or_empty
+from pointloom.llm.common import materialise, text_or_empty
 
 LENGTH = 50
 GRAM = 24
@@ -57,90 +59,131 @@ SLICE_BYTES, FLUSH_BYTES = 1 << 20, 32 << 20
 SPREAD = 4096
 #: Bytes of a hash sent beside its bucket.
 HASH_BYTES = 3
-#: An anchor is hot from this share of all documents on, and from so many documents at least.
-HOT_SHARE, HOT_LEAST = 0.005, 2000
+#: An anchor is hot from so many places on, and from a place in so many bytes on: there are no more hot anchors than ``MOST_HOT``.
+HOT_LEAST, MOST_HOT = 2000, 1 << 22
+#: Buckets that one task deals to at once; beyond, they are dealt by ranges first.
+RANGES = 8192
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 24) - 1)
 _POWERS = np.array([pow(_BASE, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.uint64)
 
 
-# ---- longest previous factors of one string ------------------------------------------------------
+# ---- longest previous factors --------------------------------------------------------------------
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """Suffix array by prefix doubling."""
-    n = len(text)
-    rank = np.frombuffer(text, np.uint8).astype(np.int64)
-    order, step = np.argsort(rank, kind="stable"), 1
-    while n:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: max(0, n - step)] = rank[step:]
-        order = np.lexsort((ahead, rank))
-        changed = np.concatenate([[0], (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])]).cumsum()
-        rank = np.empty(n, np.int64)
-        rank[order] = changed
-        if changed[-1] == n - 1:
-            break
-        step *= 2
-    return order
+def suffix_words(rows: np.ndarray, at: int, which: np.ndarray) -> np.ndarray:
+    """The ``LENGTH`` bytes from column ``at`` on of the rows ``which`` as words; the last two may overlap."""
+    full, width = LENGTH // 8, rows.strides[0]
+    words = np.ndarray((len(rows), full), "<u8", rows, at, (width, 8))[which]
+    if LENGTH % 8:
+        last = np.ndarray(len(rows), "<u8", rows, at + LENGTH - 8, (width,))[which]
+        words = np.column_stack([words, last])
+    return words
 
 
-def previous_and_next_smaller(values: list[int]) -> tuple[list[int], list[int]]:
-    """Index of the nearest smaller value on either side, -1 and len(values) if none; values differ."""
+def common_prefixes(words: np.ndarray, length: int) -> np.ndarray:
+    """Longest common prefix of each suffix with the one before it in suffix order, counted up to ``length`` bytes."""
+    out = np.zeros(len(words), np.int16)
+    if len(words) > 1:
+        apart = words[1:] ^ words[:-1]
+        differs = apart != 0
+        first = differs.argmax(axis=1)
+        x = apart[np.arange(len(first)), first]
+        low = np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1  # place of the lowest bit that differs
+        out[1:] = np.where(differs.any(axis=1), np.minimum(8 * first, length - 8) + (low >> 3), length)
+    return out
+
+
+def nearest_smaller(values: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Index of the previous smaller value of each, not before ``least``; -1 where there is none.
+
+    Neighbours are tried first; the rest step back by halving strides over tables of window minima.
+    """
     n = len(values)
-    before, after, stack = [-1] * n, [n] * n, []
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            after[stack.pop()] = i
-        before[i] = stack[-1] if stack else -1
-        stack.append(i)
-    return before, after
-
-
-def longest_previous_factors(text: bytes) -> list[int]:
-    """For each position, the length of the longest factor that also starts earlier."""
-    order = suffix_array(text).tolist()
-    before, after = previous_and_next_smaller(order)
-
-    def common(i: int, j: int) -> int:
-        n = 0
-        while max(i, j) + n < len(text) and text[i + n] == text[j + n]:
-            n += 1
-        return n
-
-    out = [0] * len(text)
-    for r, p in enumerate(order):
-        out[p] = max(common(p, order[before[r]]) if before[r] >= 0 else 0, common(p, order[after[r]]) if after[r] < len(order) else 0)
+    at = np.arange(n)
+    out = np.full(n, -1)
+    near = at > least
+    near[1:] &= values[:-1] < values[1:]
+    out[near] = at[near] - 1
+    rest = np.nonzero(~near & (at > least))[0]
+    if not len(rest):
+        return out
+    minima = [np.concatenate([values[:1], values[:-1]])]  # over the window that ends just before each index
+    while 2 << (len(minima) - 1) <= int((rest - least[rest]).max()):
+        size, last = 1 << (len(minima) - 1), minima[-1]
+        wider = last.copy()
+        wider[size:] = np.minimum(last[size:], last[:-size])
+        minima.append(wider)
+    place, floor, own = rest.copy(), least[rest], values[rest]
+    for k in range(len(minima) - 1, -1, -1):
+        step = (place - floor >= 1 << k) & (minima[k][place] >= own)
+        place[step] -= 1 << k
+    found = place > floor
+    out[rest[found]] = place[found] - 1
     return out
 
 
-def earlier_match(suffixes: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """Whether each row of ``suffixes`` (n, LENGTH bytes) has an equal row of a smaller document.
+def longest_previous_factors(words: np.ndarray, document: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Longest previous factor of each suffix, given as ``words`` in suffix order with its document.
 
-    Rows are put in suffix order; where neighbours' common prefix is shorter than a row, a new
-    stretch begins.  The previous smaller position exists in the stretch if the least document
-    before is smaller, the next smaller one if the least after is.
+    It is the longer of the common prefixes with the previous and the next smaller document in suffix order,
+    counted up to ``length``.  Of use is whether it reaches that: the search ends where the least common prefix
+    passed is shorter, and the factor counts as 0 then.
     """
-    n = len(document)
-    if not n:
-        return np.zeros(0, bool)
-    packed = np.zeros((n, -(-suffixes.shape[1] // 8) * 8), np.uint8)
-    packed[:, : suffixes.shape[1]] = suffixes
-    words = packed.view(">u8").astype(np.uint64)
-    order = np.lexsort(tuple(words[:, i] for i in range(words.shape[1] - 1, -1, -1)))
-    words, ids = words[order], document[order]
-    new = np.ones(n, bool)
-    new[1:] = (words[1:] != words[:-1]).any(axis=1)
-    stretch = np.cumsum(new) - 1
-    # minima over stretches: documents as ranks, offset so that no stretch sees another's
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    width = int(rank.max()) + 2
-    forward = np.minimum.accumulate(rank - stretch * width) + stretch * width
-    back = stretch[-1] - stretch
-    backward = (np.minimum.accumulate((rank - back * width)[::-1]) + (back * width)[::-1])[::-1]
-    out = np.zeros(n, bool)
-    out[order] = (forward < rank) | (backward < rank)
+    reach = common_prefixes(words, length) >= length
+    out = np.zeros(len(words), np.int16)
+    inside = reach.copy()
+    inside[:-1] |= reach[1:]
+    inside = np.nonzero(inside)[0]  # the others share less with both neighbours, so with any
+    if not len(inside):
+        return out
+    doc, joins = document[inside], reach[inside]
+    at = np.arange(len(inside))
+    before = nearest_smaller(doc, np.maximum.accumulate(np.where(joins, 0, at)))
+    back = np.concatenate([joins[1:], [False]])[::-1]  # seen from the end, each joins the one behind it
+    after = nearest_smaller(doc[::-1], np.maximum.accumulate(np.where(back, 0, at)))[::-1]
+    out[inside[(before >= 0) | (after >= 0)]] = length
+    return out
+
+
+def padded(rows: np.ndarray) -> np.ndarray:
+    """``rows`` with their width filled with zeros to whole words."""
+    out = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out
+
+
+def in_order(rows: np.ndarray, at: int = 0, width: int | None = None) -> np.ndarray:
+    """Order of the rows by the ``width`` bytes from column ``at`` on; equal ones stay in their order (of documents)."""
+    part = padded(rows[:, at : rows.shape[1] if width is None else at + width])
+    words = part.view(">u8").astype(np.uint64)
+    return np.lexsort(tuple(words[:, i] for i in range(words.shape[1] - 1, -1, -1)))
+
+
+def repeated_windows(rows: np.ndarray, before: np.ndarray, after: np.ndarray, document: np.ndarray, lead: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset before the anchor, rows whose suffix from there on is repeated) for every offset.
+
+    ``rows``, in order of documents, are surroundings with the anchor in column ``lead``; of a row ``before`` bytes in front of
+    the anchor and ``after`` from it on are text.
+    """
+    text = padded(rows)
+    order = in_order(rows, lead, LENGTH)
+    for offset in range(lead + 1):
+        if offset:  # induced: the suffixes one byte longer, by that byte and the order of the rest
+            order = order[before[order] >= offset]
+            order = order[np.argsort(text[order, lead - offset], kind="stable")]
+        whole = order[after[order] >= LENGTH - offset]
+        if len(whole) > 1:
+            factor = longest_previous_factors(suffix_words(text, lead - offset, whole), document[whole])
+            yield offset, whole[factor >= LENGTH]
+
+
+def repeated_rows(rows: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Whether each whole row stands in a smaller document too: its longest previous factor is all of it."""
+    text, order = padded(rows), in_order(rows)
+    out = np.zeros(len(rows), bool)
+    out[order] = longest_previous_factors(text[order].view("<u8"), document[order], text.shape[1]) >= text.shape[1]
     return out
 
 
@@ -240,6 +283,57 @@ def _deal(number: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int,
         yield int(number[a]), _pack(*[c[order[a:b]] for c in columns])
 
 
+def _spread(number: np.ndarray, columns: list[np.ndarray], numbers: int) -> list[tuple[int, bytes]]:
+    """Packed rows by ``number`` (below ``numbers``), or by ranges of them with the number as first column."""
+    if numbers <= RANGES:
+        return list(_deal(number, columns))
+    return list(_deal(number // -(-numbers // RANGES), [number, *columns]))
+
+
+def _second_step(df: DataFrame, name: str, numbers: int) -> DataFrame:
+    """Rows dealt by ranges, dealt on inside each range; numbers below zero pass through."""
+    if numbers <= RANGES:
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        size = 0
+
+        def flush() -> list[tuple[int, bytes]]:
+            out = []
+            for blobs in held.values():
+                kinds: dict[int, list] = {}  # the range that holds the last surroundings holds windows of hot anchors too
+                for parts in map(_unpack, blobs):
+                    kinds.setdefault(len(parts), []).append(parts)
+                for parts in kinds.values():
+                    out += packets([np.concatenate(c) for c in zip(*parts)])
+            held.clear()
+            return out
+
+        def packets(rows: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+            number, *columns = rows
+            order = np.lexsort((columns[1], columns[0]))  # in order of documents, as each packet's first column must be
+            return _deal(number[order], [c[order] for c in columns])
+
+        for batch in batches:
+            through = []
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number < 0:
+                    through.append((number, blob))
+                else:
+                    held.setdefault(number, []).append(blob)
+                    size += len(blob)
+            if through:
+                yield _batch(through, name)
+            if size >= FLUSH_BYTES // 4:
+                yield _batch(flush(), name)
+                size = 0
+        if held:
+            yield _batch(flush(), name)
+
+    return df.repartition(name).sortWithinPartitions(name).mapInArrow(run, f"{name} long, data binary")
+
+
 def _shard(doc: np.ndarray, tag: np.ndarray, shards: int) -> np.ndarray:
     return (doc % shards + tag % shards) % shards
 
@@ -275,7 +369,7 @@ def _anchor_blobs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, h: np.ndarra
         count[again[starts[several]]] = sizes[several]
     bucket, rest = _parts(h, buckets)
     pick = np.nonzero(send)[0]
-    out = list(_deal(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), count[pick], rest[pick]]))
+    out = _spread(bucket[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), count[pick], rest[pick]], buckets)
     if len(passed):
         out.append((-1 - salt % SPREAD, _pack(doc[passed], tag[passed], at[passed].astype(np.uint32))))
     return out
@@ -342,7 +436,7 @@ def _parts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _repeated(shards: int, hot: float):
-    """Bucket: places of hashes met in two documents or more, dealt by shard; hot hashes, for every shard."""
+    """Bucket: places of hashes met in two documents or more, dealt by shard; hot hashes, as shard -1."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, blobs = table.column(0)[0].as_py(), table.column(1).to_pylist()
@@ -362,10 +456,9 @@ def _repeated(shards: int, hot: float):
             doc, tag, at = doc[take], tag[take], at[take]
         order = np.lexsort((at, tag, doc))
         doc, tag, at = doc[order], tag[order], at[order]
-        rows = list(_deal(_shard(doc, tag, shards), [doc, tag, at]))
+        rows = _spread(_shard(doc, tag, shards), [doc, tag, at], shards)
         if len(codes):
-            blob = _pack(codes)
-            rows += [(shard, blob) for shard in range(shards)]
+            rows.append((-1, _pack(codes)))
         return pa.Table.from_batches([_batch(rows, "shard")])
 
     return run
@@ -388,18 +481,15 @@ def _of_row(owner: np.ndarray, tags: np.ndarray, doc: int | None, tag: int) -> s
     return slice(a + np.searchsorted(tags[a:b], tag, "left"), a + np.searchsorted(tags[a:b], tag, "right"))
 
 
-def _surroundings(buckets: int):
+def _surroundings(buckets: int, hot: Broadcast):
     """Shard: surroundings of its repeated anchors by bucket, windows of hot anchors by content, and marks
     of what is repeated inside the shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
-        blobs = [_unpack(b) for b in right.column("data").to_pylist()] if left.num_rows else []
-        hot = np.unique(np.concatenate([np.zeros(0, np.int64), *(b[0] for b in blobs if len(b) == 1)]))
-        blobs = [b for b in blobs if len(b) == 3]
-        if not blobs:
+        if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        owner, tags, places = (np.concatenate([b[i] for b in blobs]) for i in range(3))
+        owner, tags, places = _gathered(right.column("data").to_pylist())
         order = np.lexsort((places, tags, owner))
         owner, tags, places = owner[order], tags[order], places[order].astype(np.int64)
         fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (tags[1:] != tags[:-1]) | (places[1:] != places[:-1])])
@@ -419,35 +509,38 @@ def _surroundings(buckets: int):
             return schema.empty_table()
         text, lengths, own, who = np.frombuffer(b"".join(parts), np.uint8), np.array(lengths), np.concatenate(own), np.concatenate(who)
         base = np.cumsum(lengths + BEFORE + LENGTH) - (lengths + BEFORE + LENGTH)
+        order = np.argsort(own)  # in order of documents
+        own, who = own[order], who[order]
         doc, tag, at = owner[own], tags[own], places[own]
-        rows = text[(base[who] + at)[:, None] + np.arange(BEFORE + LENGTH)]
-        h = hashes_at(rows[:, BEFORE : BEFORE + GRAM])
+        rows = np.lib.stride_tricks.sliding_window_view(text, BEFORE + LENGTH)[base[who] + at]
+        h = np.concatenate([hashes_at(rows[i : i + 65536, BEFORE : BEFORE + GRAM]) for i in range(0, len(rows), 65536)])
         before, after = np.minimum(BEFORE, at), np.minimum(LENGTH, lengths[who] - at)
         out, marks = [], []
 
-        def send(number: np.ndarray, first: np.ndarray, doc, tag, at, *more: np.ndarray) -> None:
-            pick = np.nonzero(first)[0]
-            pick = pick[np.lexsort((at[pick], tag[pick], doc[pick]))]
-            out.extend(_deal(number[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), *(m[pick] for m in more)]))
+        def send(number: np.ndarray, pick: np.ndarray, doc, tag, at, *more: np.ndarray) -> None:
+            out.extend(_spread(number[pick], [doc[pick], tag[pick], at[pick].astype(np.uint32), *(m[pick] for m in more)], 2 * buckets))
 
-        common = np.isin(_code(*_parts(h, buckets)), hot) if len(hot) else np.zeros(len(h), bool)
+        common = np.isin(_code(*_parts(h, buckets)), hot.value)
         if common.any():
-            w = (who[common] << 40)[:, None] + at[common][:, None] + np.arange(-BEFORE, 1)
-            w = np.unique(w[(at[common][:, None] + np.arange(-BEFORE, 1)) >= 0])
-            of, start = w >> 40, w & ((1 << 40) - 1)
-            fits = start + LENGTH <= lengths[of]
-            of, start = of[fits], start[fits]
-            place = np.zeros(len(parts), np.int64)
-            place[who[::-1]] = np.arange(len(who))[::-1]  # some entry of each row, for its ids
-            wd, wt = doc[place[of]], tag[place[of]]
-            digest = np.concatenate([_digests(text[(base[of[i : i + 65536]] + BEFORE + start[i : i + 65536])[:, None] + np.arange(LENGTH)]) for i in range(0, len(of), 65536)])
-            later = earlier_match(digest, wd)
+            p = np.nonzero(common)[0]
+            start = at[p][:, None] + np.arange(-BEFORE, 1)
+            fits = (start >= 0) & (start + LENGTH <= lengths[who[p]][:, None])
+            one = np.unique(((who[p] << 40)[:, None] + start)[fits])  # a window that holds several hot anchors counts once
+            of, start = one >> 40, one & ((1 << 40) - 1)
+            first = np.zeros(len(parts), np.int64)
+            first[who[::-1]] = np.arange(len(who))[::-1]
+            row = first[of]  # some entry of each document, for its ids
+            order = np.lexsort((start, tag[row], doc[row]))
+            of, row, start = of[order], row[order], start[order]
+            wd, wt = doc[row], tag[row]
+            windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[base[of] + BEFORE + start]
+            later = repeated_rows(windows, wd)
             marks.append((wd[later], wt[later], start[later], start[later] + LENGTH))
-            send(buckets + (np.ascontiguousarray(digest).view(np.uint64)[:, 0] % np.uint64(buckets)).astype(np.int64), ~later, wd, wt, start, digest)
+            send(buckets + (_content(windows) % np.uint64(buckets)).astype(np.int64), np.nonzero(~later)[0], wd, wt, start, windows)
             doc, tag, at, before, after, rows, h = (c[~common] for c in (doc, tag, at, before, after, rows, h))
         before, after = before.astype(np.uint8), after.astype(np.uint8)
-        later = earlier_match(np.column_stack([rows, before, after]), doc)
-        send((h % np.uint64(buckets)).astype(np.int64), ~later, doc, tag, at, before, after, rows)
+        later = repeated_rows(np.column_stack([rows, before, after]), doc)
+        send((h % np.uint64(buckets)).astype(np.int64), np.nonzero(~later)[0], doc, tag, at, before, after, rows)
         gone = later & (before.astype(np.int64) + after >= LENGTH)
         marks.append((doc[gone], tag[gone], (at - before)[gone], (at + after)[gone]))
         joined = _joined(*(np.concatenate([m[i] for m in marks]) for i in range(4)))
@@ -458,10 +551,13 @@ def _surroundings(buckets: int):
     return run
 
 
-def _digests(windows: np.ndarray) -> np.ndarray:
-    """Sixteen bytes that stand for each row."""
-    a = _quick(windows)
-    return np.column_stack([a, _quick(windows[:, ::-1]) ^ (a << np.uint64(1))]).view(np.uint8).reshape(-1, 16)
+def _content(windows: np.ndarray) -> np.ndarray:
+    """A hash of each row of ``LENGTH`` bytes, by which it is dealt."""
+    words = suffix_words(np.ascontiguousarray(windows), 0, np.arange(len(windows)))
+    h = np.zeros(len(windows), np.uint64)
+    for i in range(words.shape[1]):
+        h = _scramble(h * np.uint64(_BASE) + words[:, i])
+    return h
 
 
 def _marks(shards: int):
@@ -471,54 +567,27 @@ def _marks(shards: int):
         bucket, blobs = table.column(0)[0].as_py(), table.column(1).to_pylist()
         if bucket < 0:
             doc, tag, start, end = _gathered(blobs)
-        elif bucket >= shards:  # windows of hot anchors
-            doc, tag, start, digest = _gathered(blobs)
-            hit = earlier_match(digest, doc)
-            doc, tag, start = doc[hit], tag[hit], start[hit].astype(np.int64)
-            end = start + LENGTH
         else:
-            doc, tag, at, before, after, rows = _gathered(blobs)
-            at = at.astype(np.int64)
-            before, after = before.astype(np.int64), after.astype(np.int64)
-            later = earlier_match(np.column_stack([rows, before.astype(np.uint8), after.astype(np.uint8)]), doc)
-            first, gone = ~later, later & (before + after >= LENGTH)
-            found = [(doc[gone], tag[gone], (at - before)[gone], (at + after)[gone])]
-            doc, tag, at, before, after, rows = (c[first] for c in (doc, tag, at, before, after, rows))
-            # windows of the anchors that several documents' first copies share
-            gram = hashes_at(rows[:, BEFORE : BEFORE + GRAM])
-            several = _not_alone(gram)
-            doc, tag, at, before, after, rows, gram = (c[several] for c in (doc, tag, at, before, after, rows, gram))
-            for offset in range(-BEFORE, 1):  # all suffixes that begin so far from the anchor
-                fits = np.nonzero((before >= -offset) & (after >= offset + LENGTH))[0]
-                if len(fits) < 2:
-                    continue
-                window = rows[fits, BEFORE + offset : BEFORE + offset + LENGTH]
-                quick = _quick(window) ^ gram[fits]
-                several = _not_alone(quick)
-                if not several.any():
-                    continue
-                fits = fits[several]
-                hit = fits[earlier_match(window[several], doc[fits])]
-                found.append((doc[hit], tag[hit], at[hit] + offset, at[hit] + offset + LENGTH))
+            doc, tag, at, *more = _gathered(blobs)
+            if bucket >= shards:  # windows of hot anchors: the anchor's place does not matter
+                rows, lead = more[0], 0
+                before, after = np.zeros(len(doc), np.uint8), np.full(len(doc), LENGTH, np.uint8)
+            else:
+                (before, after, rows), lead = more, BEFORE
+                several = _not_alone(hashes_at(rows[:, BEFORE : BEFORE + GRAM]))  # an anchor met once shares no window
+                doc, tag, at, before, after, rows = (c[several] for c in (doc, tag, at, before, after, rows))
+            order = np.lexsort((at, tag, doc))
+            doc, tag, at, before, after, rows = (c[order] for c in (doc, tag, at.astype(np.int64), before, after, rows))
+            found = [(doc[:0], tag[:0], at[:0], at[:0])]
+            for offset, hit in repeated_windows(rows, before, after, doc, lead):
+                found.append((doc[hit], tag[hit], at[hit] - offset, at[hit] - offset + LENGTH))
             doc, tag, start, end = (np.concatenate([f[i] for f in found]) for i in range(4))
         joined = _joined(doc, tag, start, end)
-        return pa.Table.from_batches([_batch(list(_deal(_shard(joined[0], joined[1], shards), list(joined))), "shard")])
+        return pa.Table.from_batches([_batch(_spread(_shard(joined[0], joined[1], shards), list(joined), shards), "shard")])
 
     return run
 
 
-def _quick(window: np.ndarray) -> np.ndarray:
-    """A hash of each row, to leave out rows equal to none before suffixes are sorted."""
-    n = len(window)
-    packed = np.zeros((n, 56), np.uint8)
-    packed[:, :LENGTH] = window
-    words = packed.view(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(words.shape[1]):
-        h = _scramble(h * np.uint64(_BASE) + words[:, i])
-    return h
-
-
 def _not_alone(values: np.ndarray) -> np.ndarray:
     order = np.argsort(values)
     same = values[order][1:] == values[order][:-1]
@@ -574,11 +643,17 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot_least:
     repeated = plain.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
     rows = plain.withColumn("tag", F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text"))
     anchored = rows.filter("doc_id is not null").filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").mapInArrow(_scan(parts), "bucket long, data binary")
-    places = anchored.groupBy("bucket").applyInArrow(_repeated(parts, max(hot_least, HOT_SHARE * count)), "shard long, data binary")
-    shard = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(parts)) + F.pmod("tag", F.lit(parts)), F.lit(parts))
+    by_hash = _second_step(anchored, "bucket", parts)
+    places = materialise(by_hash.groupBy("bucket").applyInArrow(_repeated(parts, max(hot_least, total / MOST_HOT)), "shard long, data binary"), "repeated-anchors")
+    codes = [_unpack(r.data)[0] for r in places.filter("shard < 0").select("data").collect()]  # MOST_HOT at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.int64), *codes])))
+    by_shard = _second_step(places.filter("shard >= 0"), "shard", parts)
+    # rows without an id have no marks and can be anywhere
+    shard = F.pmod(F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(parts)) + F.pmod("tag", F.lit(parts)), F.lit(parts))
     sharded = rows.select("doc_id", "tag", "text", shard.cast("long").alias("shard"))
-    around = sharded.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_surroundings(parts), "bucket long, data binary")
-    marks = around.groupBy("bucket").applyInArrow(_marks(parts), "shard long, data binary")
+    around = sharded.groupBy("shard").cogroup(by_shard.groupBy("shard")).applyInArrow(_surroundings(parts, hot), "bucket long, data binary")
+    by_bucket = _second_step(around, "bucket", 2 * parts)
+    marks = _second_step(by_bucket.groupBy("bucket").applyInArrow(_marks(parts), "shard long, data binary"), "shard", parts)
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     return sharded.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_remove, schema)
 

@@ -192,8 +192,12 @@ def repeats_brute(rows, length=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("bucket_bytes", "slice_bytes", "repeated_ids", "hot"), [(1 << 22, 1 << 20, True, 2000), (1500, 1 << 20, False, 2000), (1500, 200, True, 2000), (1500, 300, False, 3), (9000, 1 << 20, True, 8)])
-def test_repeated_passages(spark, awkward, monkeypatch, bucket_bytes, slice_bytes, repeated_ids, hot):
+@pytest.mark.parametrize(
+    ("bucket_bytes", "slice_bytes", "repeated_ids", "hot", "ranges"),
+    [(1 << 22, 1 << 20, True, 2000, 8192), (1500, 1 << 20, False, 2000, 8192), (1500, 200, True, 2000, 3), (1500, 300, False, 3, 8192), (1500, 300, False, 3, 5), (9000, 1 << 20, True, 8, 8192)],
+)
+def test_repeated_passages(spark, awkward, monkeypatch, bucket_bytes, slice_bytes, repeated_ids, hot, ranges):
+    monkeypatch.setattr(suffix_dedup, "RANGES", ranges)
     rnd = random.Random(8)
     rows = []
     for i in range(220):
@@ -219,28 +223,77 @@ def test_repeats_of_no_rows(empty):
     assert suffix_dedup.digest(suffix_dedup.remove_repeats(empty)).count() == 0
 
 
-def test_longest_previous_factors():
-    rnd = random.Random(9)
-    for _ in range(150):
-        t = bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 30)))
-        want = []
-        for i in range(len(t)):
-            best = 0
-            for j in range(i):
-                n = 0
-                while i + n < len(t) and t[i + n] == t[j + n]:
-                    n += 1
-                best = max(best, n)
-            want.append(best)
-        assert suffix_dedup.longest_previous_factors(t) == want
-
-
-def test_earlier_match_equals_longest_factors():
-    rnd = random.Random(10)
-    rows = np.array([[rnd.choice((0, 1)) for _ in range(4)] for _ in range(300)], np.uint8)
-    doc = np.array([rnd.randint(0, 40) for _ in range(300)])
-    want = [any((rows[i] == rows[j]).all() and doc[j] < doc[i] for j in range(300)) for i in range(300)]
-    assert suffix_dedup.earlier_match(rows, doc).tolist() == want
+def brute_factors(rows, doc, length):
+    """Longest common prefix with any row of a smaller document, counted up to ``length``."""
+    out = []
+    for i, d in zip(rows, doc):
+        best = 0
+        for j, e in zip(rows, doc):
+            n = 0
+            while e < d and n < length and i[n] == j[n]:
+                n += 1
+            best = max(best, n)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("documents", [5, 60, 400])
+def test_longest_previous_factors(documents):
+    rnd = random.Random(documents)
+    rows = np.array([[rnd.choice((0, 1)) if c in (3, 20, 49) else 7 for c in range(suffix_dedup.LENGTH)] for _ in range(300)], np.uint8)
+    doc = np.array([rnd.randint(0, documents) for _ in range(300)])
+    order = suffix_dedup.in_order(rows)
+    words = suffix_dedup.suffix_words(suffix_dedup.padded(rows), 0, order)
+    prefixes = [0] + [brute_factors(rows[order[[i - 1, i]]], [0, 1], 50)[1] for i in range(1, 300)]
+    assert suffix_dedup.common_prefixes(words, 50).tolist() == prefixes
+    want = [f if f == 50 else 0 for f in brute_factors(rows[order], doc[order], 50)]
+    assert suffix_dedup.longest_previous_factors(words, doc[order]).tolist() == want
+
+
+def test_nearest_smaller():
+    rnd = random.Random(3)
+    for case in range(200):
+        n = rnd.randint(1, 60)
+        values = [rnd.randint(0, 1 + case % 20) for _ in range(n)]
+        cuts = sorted({0, *(rnd.randrange(n) for _ in range(case % 5))})
+        least = [max(c for c in cuts if c <= i) for i in range(n)]
+        want = [max((j for j in range(least[i], i) if values[j] < values[i]), default=-1) for i in range(n)]
+        assert suffix_dedup.nearest_smaller(np.array(values), np.array(least)).tolist() == want
+
+
+def test_induced_suffix_order():
+    rnd = random.Random(4)
+    lead, n = suffix_dedup.BEFORE, 200
+    rows = np.array([[rnd.choice(b"ab") if c < lead + 2 else 99 for c in range(lead + 50)] for _ in range(n)], np.uint8)
+    rows[100:, 18:] = rows[:100, 18:]
+    before = np.array([rnd.choice((0, 9, lead)) for _ in range(n)], np.uint8)
+    after = np.array([rnd.choice((30, 50)) for _ in range(n)], np.uint8)
+    doc = np.sort(np.array([rnd.randint(0, 40) for _ in range(n)]))
+    got = {(o, int(i)) for o, hit in suffix_dedup.repeated_windows(rows, before, after, doc, lead) for i in hit}
+    want = set()
+    for o in range(lead + 1):
+        fits = [i for i in range(n) if before[i] >= o and after[i] >= 50 - o]
+        window = {i: rows[i, lead - o : lead - o + 50].tobytes() for i in fits}
+        want |= {(o, i) for i in fits if any(window[j] == window[i] and doc[j] < doc[i] for j in fits)}
+    assert got == want and want
+
+
+def test_factors_are_on_the_path(spark, monkeypatch):
+    """Without longest previous factors nothing is removed."""
+    rows = [(1, "one passage of more than fifty bytes that stands in two documents"), (2, "see: one passage of more than fifty bytes that stands in two documents")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()} == {1: 0, 2: 65}
+    monkeypatch.setattr(suffix_dedup, "longest_previous_factors", lambda words, document, length=50: np.zeros(len(words), np.int16))
+    assert {r.n_removed for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()} == {0}
+
+
+def test_packets_do_not_grow_with_the_buckets():
+    rnd = np.random.default_rng(5)
+    n = 300_000
+    h = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+    doc, at = np.sort(rnd.integers(0, 10_000, n)), rnd.integers(0, 1 << 20, n)
+    size = {b: sum(len(x[1]) for x in suffix_dedup._anchor_blobs(doc, np.zeros(n, np.int64), at, h, b, 0)) for b in (7507, 250_007, 25_000_009)}
+    assert max(size.values()) < 2 * size[7507]
 
 
 def test_packing_round_trip():
