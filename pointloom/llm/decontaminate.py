@@ -10,12 +10,14 @@ occurrence within budget has a leaf all of whose ancestors are within theirs.  M
 pairs of budget one: the partner is compared beside the hit first, where nearly all chance hits end, then
 Myers' algorithm tries the ancestors from small to large.  Places of the whole item that
 are left merge where they overlap, and Myers' algorithm gives the least distance to any stretch.
+An item of fewer than ``LEAST_BYTES`` bytes has budget 0 and must stand as whole words: with
+edits, or inside words, so short a string is met by chance.
 
 The benchmark is read in blocks of items: a block is broadcast while its pieces stay under
 ``BLOCK_BYTES`` (its size is counted first) and the documents are scanned once per block, so a
 larger benchmark costs passes, never memory.
 
-Edge cases: items that are null or normalise to fewer than ``LEAST_BYTES`` bytes identify nothing
+Edge cases: items that are null or normalise to no byte identify nothing
 and are skipped; null and empty texts match nothing; repeated rows give a row each; equal items
 are matched each under its own id; an empty table gives an empty result; other columns are ignored.
 """
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import map_rows
+from pointloom.llm.common import map_rows, without_ids
 
 ERROR_RATE = 0.12
 LEAST_BYTES = 24
@@ -42,7 +44,7 @@ def normalise(text: str | None) -> bytes:
 
 
 def budget(n: int, rate: float = ERROR_RATE) -> int:
-    return int(n * rate)
+    return int(n * rate) if n >= LEAST_BYTES else 0
 
 
 def myers(pattern: bytes, masks: dict[int, int], text: bytes, most: int) -> tuple[int, int]:
@@ -109,11 +111,25 @@ def within_one(want: bytes, text: bytes) -> bool:
     return rest == text[i + 1 : m] or rest == text[i : m - 1] or want[i:] == text[i + 1 : m + 1]
 
 
+class Block:
+    """The items of one block as broadcast; a worker process builds their matcher once, however many tasks it runs."""
+
+    def __init__(self, items: list[tuple[int, bytes]], rate: float):
+        self.items, self.rate, self.made = items, rate, None
+
+    def matcher(self) -> Matcher:
+        if self.made is None:
+            self.made = Matcher(self.items, self.rate)
+        return self.made
+
+
 class Matcher:
     """Finds the items of one block in a text; built in each worker from (item_id, bytes)."""
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = ERROR_RATE):
-        self.items = [(i, t, budget(len(t), rate), masks_of(t)) for i, t in items]
+        budgets = [budget(len(t), rate) for _, t in items]
+        items = [(i, t if len(t) >= LEAST_BYTES else b" " + t + b" ") for i, t in items]
+        self.items = [(i, t, k, masks_of(t)) for (i, t), k in zip(items, budgets)]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         where: dict[bytes, list] = {}
         for number, (_, text, k, _) in enumerate(self.items):
@@ -132,9 +148,12 @@ class Matcher:
     def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, end of the first best stretch, places verified) of the items found."""
         starts: dict[int, list[int]] = {}
-        for end, places in self.automaton.iter(text.decode("latin-1")) if self.items else ():
+        short: dict[int, int] = {}
+        for end1, places in self.automaton.iter(f" {text.decode('latin-1')} ") if self.items else ():  # the edges of the text end words too
             for number, behind, size, after, before, tests in places:
-                end1 = end + 1
+                if self.items[number][1][-1] == 32:  # a short item: its one piece is all of it, with the blanks around
+                    short.setdefault(number, end1 - 1)
+                    continue
                 if after is not None:
                     if not within_one(after, text[end1 : end1 + len(after) + 1]):
                         continue
@@ -148,7 +167,7 @@ class Matcher:
                         break
                 else:
                     starts.setdefault(number, []).append(at)
-        found = []
+        found = [(self.items[number][0], 0, end, 1) for number, end in short.items()]
         for number, at in starts.items():
             item_id, item, k, masks = self.items[number]
             at.sort()
@@ -168,33 +187,31 @@ class Matcher:
         return found
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = 1) -> Iterator[list[tuple[int, bytes]]]:
     """The items, block by block, each of about ``block_bytes`` of text (counted beforehand)."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = int(total // block_bytes) + 1
     for block in range(count):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
-        kept = sorted({(r["item_id"], t) for r in rows if len(t := normalise(r["text"])) >= LEAST_BYTES}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        kept = sorted({(r["item_id"], t) for r in rows if len(t := normalise(r["text"])) >= least}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if kept:
             yield kept
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, distance, end_byte (in the normalised text), places_verified: every item in every row."""
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, least: int = 1) -> DataFrame:
+    """doc_id, item_id, distance, end_byte (in the normalised text), places_verified: every item of ``least`` bytes or more in every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, distance int, end_byte long, places_verified int"
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
-        made: list[Matcher] = []
-
-        def one(batch: pa.RecordBatch, shared=shared, made=made) -> dict:
-            if not made:
-                made.append(Matcher(shared.value, rate))
-            got = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in made[0].find(normalise(t))]
+    for block in blocks(benchmark, block_bytes, least):
+        shared = spark.sparkContext.broadcast(Block(block, rate))
+
+        def one(batch: pa.RecordBatch, shared=shared) -> dict:
+            matcher = shared.value.matcher()
+            got = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in matcher.find(normalise(t))]
             return {n: [g[i] for g in got] for i, n in enumerate(("doc_id", "item_id", "distance", "end_byte", "places_verified"))}
 
         out = out.union(map_rows(rows, schema, one, types))
@@ -208,6 +225,8 @@ def nearest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns (rows sharing the id of one that does go too)."""
-    gone = matches(docs, benchmark).select(F.col("doc_id").alias("__loom_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__loom_id")), "left_anti")
+    """The rows of ``docs`` that hold no item of ``LEAST_BYTES`` bytes or more, all columns (rows sharing the id of one that does go too).
+
+    A shorter item, as an answer of one word, is reported by ``matches`` but is no leak by itself.
+    """
+    return without_ids(docs, matches(docs, benchmark, least=LEAST_BYTES).select("doc_id"), "leaks")
