@@ -3,16 +3,16 @@
 Every whole text becomes ``FEATURES`` transformed statistics.  Training reads labelled rows only
 through sums: per class the count, the sums and the sums of products of the statistics, added up
 by Spark over all labelled rows (no sample), two rows of which reach the driver.  From them come
-class means and covariances, shrunk towards the pooled covariance (``POOL``) and then towards the
-pooled diagonal (``RIDGE``).  The Cholesky factor of each class is computed once and travels with
+class means and covariances, shrunk towards the pooled covariance (by ``POOL``, more where a class has few rows)
+and then towards the pooled diagonal (by ``RIDGE``, likewise).  The Cholesky factor of each class is computed once and travels with
 the model; a score is the logistic of the prior log odds plus half the difference of the
 Mahalanobis distances and log determinants.
 
 Edge cases: null and empty texts have the statistics of the empty text and are scored like any
 other; repeated rows are scored (and, if labelled, counted) each; labels without a quality of
-0 or 1 and rows without doc_id train nothing; with fewer than ``LEAST`` training rows in either
-class every score is the share of label 1 among training rows (0.5 if none); an empty table
-gives an empty result; other columns are ignored.
+0 or 1 and rows without doc_id train nothing; a class of few rows is shrunk more; without a training row in
+either class every score is the share of label 1 among training rows (0.5 if none) and
+the stage keeps every row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from pointloom.llm.common import held_out, map_rows, materialise
 FEATURES = ("words", "word_length", "distinct", "top_word", "upper", "digit", "symbol", "other_ascii_punct", "non_ascii", "lines", "line_copies", "packed", "marked_words", "stop_length", "blank")
 #: Shares of the pooled covariance and of its diagonal in each class covariance.
 POOL, RIDGE = 0.2, 0.05
-LEAST = 8
 #: Bytes of text compressed at once for the packing ratio; all of the text is compressed.
 PACK_AT_ONCE = 1 << 20
 
@@ -106,7 +105,7 @@ def fit(rows: DataFrame, pool: float = POOL, ridge: float = RIDGE) -> Discrimina
     sums = [F.sum(F.col("f")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("f")[i] * F.col("f")[j]).alias(f"p{i}_{j}") for i, j in pairs]
     got = {int(r["quality"]): r for r in rows.filter("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
     n = np.array([got[k]["n"] if k in got else 0 for k in (0, 1)], float)
-    if n.min() < LEAST:
+    if not n.min():
         return Discriminant(None, None, None, float(n[1] / n.sum()) if n.sum() else 0.5)
     mean, cov = np.zeros((2, d)), np.zeros((2, d, d))
     for k in (0, 1):
@@ -115,19 +114,25 @@ def fit(rows: DataFrame, pool: float = POOL, ridge: float = RIDGE) -> Discrimina
             cov[k, i, j] = cov[k, j, i] = got[k][f"p{i}_{j}"] / n[k] - mean[k, i] * mean[k, j]
     pooled = np.tensordot(n / n.sum(), cov, 1)
     target = np.diag(np.maximum(np.diag(pooled), 1e-6))
+    ridge = max(ridge, 2 / (2 + n.sum()))
     factor, offset = [], []
     for k in (0, 1):
-        chol = np.linalg.cholesky((1 - ridge) * ((1 - pool) * cov[k] + pool * pooled) + ridge * target + 1e-9 * np.eye(d))
+        few = max(pool, 2 / (2 + n[k]))
+        chol = np.linalg.cholesky((1 - ridge) * ((1 - few) * cov[k] + few * pooled) + ridge * target + 1e-9 * np.eye(d))
         factor.append(np.linalg.inv(chol))
         offset.append(np.log(n[k] / n.sum()) - np.log(np.diag(chol)).sum())
     return Discriminant(mean, np.array(factor), np.array(offset), 0.5)
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of the rows that are not held out."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(~held_out("doc_id", 3, 1))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; held-out labels train nothing."""
     stats = materialise(document_statistics(docs), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(~held_out("doc_id", 3, 1))
-    model = fit(stats.join(known, "doc_id").select("f", "quality"))
+    model = fit(stats.join(training_labels(labels), "doc_id").select("f", "quality"))
 
     def one(batch: pa.RecordBatch) -> dict:
         values = model.scores(np.array(batch.column(1).to_pylist(), float))
@@ -138,9 +143,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns.
+    """The rows of ``docs`` that the classifier does not reject, all columns; each row goes by its own text.
 
-    Rejection goes by doc_id; where rows share an id, all go only if none of them is kept.
+    The statistics are written beside the rows, so no text is shuffled.
     """
-    kept = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__loom_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__loom_id")), "left_semi")
+    described = F.arrow_udf(lambda texts: pa.array([statistics(t) for t in texts.to_pylist()], pa.list_(pa.float64())), "array<double>")
+    rows = materialise(docs.withColumn("__loom_f", described(F.col("text").cast("string"))), "described")
+    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__loom_f").alias("f")).join(training_labels(labels), "doc_id"))
+    if model.mean is None:
+        return rows.drop("__loom_f")
+    accepted = F.arrow_udf(lambda f: pa.array(model.scores(np.array(f.to_pylist(), float).reshape(-1, len(FEATURES))) >= 0.5), "boolean")
+    return rows.filter(accepted("__loom_f")).drop("__loom_f")
