@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import WS, materialise, text_or_empty
+from pointloom.llm.common import WS, materialise, text_or_empty, without_ids
 
 MIN_CHUNK = 512
 MAX_CHUNK = 8192
@@ -96,10 +96,13 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one row of each group of equal texts.
 
-    Of rows that share the smallest id of a group, one stays as well.
+    Where every row has an id of its own, ids alone say which rows go.  Else the text's digest stands beside the id, and of
+    rows that share the smallest id of a group one stays as well.
     """
-    found = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("__loom_id"), F.col("text_sha256").alias("__loom_sha")).agg(F.count(F.lit(1)).alias("__loom_n"))
-    stay = materialise(found, "kept-copies")
+    found = materialise(exact_dedup(docs).select(F.col("doc_id").alias("__loom_id"), "kept", F.col("text_sha256").alias("__loom_sha")), "copy-verdicts")
+    if found.groupBy("__loom_id").count().filter("count > 1").isEmpty():
+        return without_ids(docs, found.filter("not kept").select("__loom_id"), "copies")
+    stay = materialise(found.filter("kept").groupBy("__loom_id", "__loom_sha").agg(F.count(F.lit(1)).alias("__loom_n")), "kept-copies")
     keyed = docs.withColumn("__loom_key", F.sha2(normalised().cast("binary"), 256))
     out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__loom_id")) & (F.col("__loom_key") == F.col("__loom_sha")), "left_semi")
     if not stay.filter("__loom_n > 1").isEmpty():  # the same row several times: the text moves once more

@@ -86,6 +86,17 @@ def test_quality_edges(spark, awkward, empty):
     assert len(got) == awkward.count() and all(0 <= r["score"] <= 1 for r in got)
     assert quality.score(empty, labels).count() == 0 and {r["score"] for r in quality.score(awkward, labels.limit(0)).collect()} == {0.5}
     assert quality.kept_documents(awkward, labels).columns == awkward.columns
+    # one class alone says nothing: all rows stay; two rows of either class are fitted
+    assert quality.kept_documents(awkward, labels).count() == awkward.count() and quality.kept_documents(empty, labels).count() == 0
+    few = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    scores = {r["doc_id"]: r["score"] for r in quality.score(awkward, few).collect()}
+    assert scores[7] > 0.9 > 0.1 > scores[8]
+
+
+@tables
+def test_quality_stage_keeps_what_the_query_predicts(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    assert {r["doc_id"] for r in quality.kept_documents(docs, labels).collect()} == {r["doc_id"] for r in quality.score(docs, labels).filter("predicted = 1").collect()}
 
 
 # ---- pages ----
@@ -171,7 +182,7 @@ def test_leaves_cover_an_item(k):
 def test_matches_against_brute_force(spark, awkward):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rnd.randint(8, 20)))) for i in range(12)] + [(50, None), (51, "short"), (None, "x" * 60)]
+    items = [(i, " ".join(word() for _ in range(rnd.randint(8, 20)))) for i in range(12)] + [(50, None), (51, "short"), (None, "x" * 60), (52, "!? "), (53, "Abc, fed"), (54, "gag"), (55, "abcdefghabcdefghabcdefg"), (56, "abcdefghabcdefghabcdefgh")]
     docs = []
     for d in range(80):
         text = " ".join(word() for _ in range(30))
@@ -180,6 +191,8 @@ def test_matches_against_brute_force(spark, awkward):
             for _ in range(rnd.randint(0, len(item) // 8)):
                 item[rnd.randrange(len(item))] = rnd.choice(["", "zz", "q", " "])
             text = text[:60] + ", " + "".join(item).upper() + "! " + text[60:]
+        if d % 5 == 0:
+            text = rnd.choice((f"{text} abc fed", f"gag {text}", f"{text} gagged", f"{text[:70]} short {text[70:]}", f"{text} ABC. Fed! {text}", "abcdefghabcdefghabcdefg", "abcdefghabcxefghabcdefg abcdefghabcxefghabcdefgh"))
         docs.append((d, text))
     df = spark.createDataFrame(docs + [(None, None), (81, "")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -187,14 +200,17 @@ def test_matches_against_brute_force(spark, awkward):
     for d, text in docs:
         for i, item in items:
             p = decontaminate.normalise(item)
-            if len(p) >= decontaminate.LEAST_BYTES and (n := distance_brute(p, decontaminate.normalise(text))) <= decontaminate.budget(len(p)):
+            if len(p) < decontaminate.LEAST_BYTES:  # whole words, no error
+                if p and b" " + p + b" " in b" " + decontaminate.normalise(text) + b" ":
+                    want.append((d, i, 0))
+            elif (n := distance_brute(p, decontaminate.normalise(text))) <= int(len(p) * decontaminate.ERROR_RATE):
                 want.append((d, i, n))
-    assert want
+    assert {51, 53, 54, 56} <= {w[1] for w in want}
     for block in (1 << 20, 300):
         got = decontaminate.matches(df, bench, block_bytes=block).collect()
         assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got) == sorted(want)
     kept = decontaminate.kept_documents(df, bench)
-    assert kept.count() == 82 - len({w[0] for w in want})
+    assert kept.count() == 82 - len({w[0] for w in want if w[1] not in (51, 53, 54, 55)})
     got = decontaminate.nearest_matches(awkward, bench).collect()
     assert [(r["doc_id"], r["item_id"], r["distance"]) for r in got] == [(7, None, 0)] and decontaminate.matches(df, bench.limit(0)).count() == 0
 
