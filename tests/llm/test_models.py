@@ -1,5 +1,6 @@
 """Classifiers on held-out rows, extraction on made pages, decontamination, mixing, the pipeline."""
 
+import math
 import os
 import random
 import zlib
@@ -236,14 +237,47 @@ def targets_brute(words):
     return {s: out.get(s, 0.0) for s in order}
 
 
-def test_targets():
+def test_targets(spark):
     rnd = random.Random(4)
-    for _ in range(200):
+    for _ in range(4):
         words = {s: rnd.choice((0, 5, 100, 10000, 1)) for s in rnd.sample(["a", "b", "c", "d", "e", "", "é", None], rnd.randint(1, 8))}
-        got, want = mixing.targets(words), targets_brute(words)
+        got = {r["s"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(words.items()), "s string, words long")).collect()}
+        want = targets_brute(words)
         assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in words), (words, got, want)
 
 
+def tilt_brute(sizes, target):
+    """The dual of a source by halving alone, and the rates."""
+    mean = sum(sizes) / len(sizes)
+    reached = lambda v: sum(z * min(3.0, math.exp(max(-700, min(700, v * z / mean)))) for z in sizes)
+    low, high = -1e9, 1e9
+    for _ in range(300):
+        low, high = ((low + high) / 2, high) if reached((low + high) / 2) < target else (low, (low + high) / 2)
+    return [min(3.0, math.exp(max(-700, min(700, low * z / mean)))) for z in sizes]
+
+
+def test_rates_are_capped_exponential_tilts(spark):
+    rnd = random.Random(15)
+    rows = [(i, "w " * int(rnd.paretovariate(0.9) * 3), f"s{i % 7}" if i % 11 else "s1") for i in range(700)] + [(900, "w " * 90_000, "s1"), (901, "w", "s1")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        if mine[0]["target"] < 3 * mine[0]["source_size"]:
+            want = tilt_brute([r["size"] for r in mine], mine[0]["target"])
+            assert all(abs(r["rate"] - w) < 3e-6 for r, w in zip(mine, want)), s
+        else:
+            assert {r["rate"] for r in mine} == {3.0}
+        assert all(math.floor(r["rate"]) <= r["copies"] <= math.ceil(r["rate"]) for r in mine)
+
+
+def test_many_sources(spark):
+    """No table of sources reaches the driver beyond its bound."""
+    df = spark.range(200_000).selectExpr("id doc_id", "repeat('w ', cast(1 + pmod(id * 7, 13) as int)) text", "concat('host', cast(id as string), '.example') source")
+    out = mixing.mix(df)
+    rows = out.selectExpr("count(*) n", "sum(taken) taken", "sum(size) size", "max(taken - 3 * size) over_", "sum(target) target").first()
+    assert rows["n"] == 200_000 and rows["over_"] <= 0 and abs(rows["target"] - rows["size"]) < 1e-6 * rows["size"]
+
+
 def test_mix_reaches_targets(spark, awkward, empty):
     rnd = random.Random(5)
     rows = [(i, "w " * int(rnd.paretovariate(1.2) * 5), rnd.choice(["s0", "s0", "s0", "s1", "s2", None, "tiny" if i < 4 else "s3"])) for i in range(3000)]
