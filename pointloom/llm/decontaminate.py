@@ -111,18 +111,6 @@ def within_one(want: bytes, text: bytes) -> bool:
     return rest == text[i + 1 : m] or rest == text[i : m - 1] or want[i:] == text[i + 1 : m + 1]
 
 
-class Block:
-    """The items of one block as broadcast; a worker process builds their matcher once, however many tasks it runs."""
-
-    def __init__(self, items: list[tuple[int, bytes]], rate: float):
-        self.items, self.rate, self.made = items, rate, None
-
-    def matcher(self) -> Matcher:
-        if self.made is None:
-            self.made = Matcher(self.items, self.rate)
-        return self.made
-
-
 class Matcher:
     """Finds the items of one block in a text; built in each worker from (item_id, bytes)."""
 
@@ -207,10 +195,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, blo
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark, block_bytes, least):
-        shared = spark.sparkContext.broadcast(Block(block, rate))
+        shared = spark.sparkContext.broadcast({"items": block})
 
         def one(batch: pa.RecordBatch, shared=shared) -> dict:
-            matcher = shared.value.matcher()
+            held = shared.value  # a worker process keeps it, and so the matcher, from task to task
+            if "matcher" not in held:
+                held["matcher"] = Matcher(held["items"], rate)
+            matcher = held["matcher"]
             got = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in matcher.find(normalise(t))]
             return {n: [g[i] for g in got] for i, n in enumerate(("doc_id", "item_id", "distance", "end_byte", "places_verified"))}
 
