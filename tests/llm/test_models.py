@@ -5,6 +5,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from pointloom.llm import decontaminate, html_text, language, mixing, quality
@@ -36,7 +37,67 @@ def test_families_come_from_the_data():
     rows = [("a1", v) for v in make("abcdex")] + [("a2", v) for v in make("abcdey")] + [("b1", v) for v in make("mnopqx")] + [("b2", v) for v in make("mnopqy")]
     model = language.fit(rows)
     assert sorted(map(tuple, model.families)) == [("a1", "a2"), ("b1", "b2")]
-    assert model.predict("abc dey aby eyd cya")[0] == "a2" and model.predict("mno pqx nxo")[0] == "b1"
+    assert model.predict(["abc dey aby eyd cya", "12", "mno pqx nxo", None])[0] == ["a2", "und", "b1", "und"]
+
+
+def brute_prediction(model, text):
+    """The hierarchy's rule spelled out for one text, machine by machine."""
+    x = np.append(language.vector(text), 1)
+    chance = lambda m: 1 / (1 + math.exp(-3 * m))
+    against = sorted(((float(w @ x), -f) for f, w in enumerate(model.between)), reverse=True)
+    f, score = -against[0][1], chance((against[0][0] - against[1][0]) / 2)
+    names, margin = model.families[f], {}
+    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
+    for (a, b), w in zip(pairs, model.inside[f]):
+        margin[a, b], margin[b, a] = float(w @ x), -float(w @ x)
+    won = {a: (sum(margin[a, b] > 0 for b in range(len(names)) if b != a), sum(margin[a, b] for b in range(len(names)) if b != a)) for a in range(len(names))}
+    best = max(won, key=lambda a: won[a])
+    return names[best], score * chance(min((margin[best, b] for b in range(len(names)) if b != best), default=math.inf))
+
+
+def made_languages(count, rows, seed=3):
+    """(language, text) of invented languages, each with words of its own; four at a time share others."""
+    rnd, words = random.Random(3), {}
+    make = lambda n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüñł") for _ in range(rnd.randint(2, 6))) for _ in range(n)]
+    for k in range(count):
+        shared = make(25) if k % 4 == 0 else shared
+        words[k] = shared + make(15)
+    rnd.seed(seed)
+    return [(f"l{k:03}", " ".join(rnd.choice(words[k]) for _ in range(60))) for k in range(count) for _ in range(rows)]
+
+
+def test_prediction_against_brute_force():
+    made = made_languages(12, 10)
+    model = language.fit([(n, language.vector(t)) for n, t in made])
+    texts = [t for _, t in made_languages(12, 3, seed=4)] + [t[:9] for _, t in made] + [t for _, t in made]
+    names, scores = model.predict(texts)
+    want = [brute_prediction(model, t) for t in texts]
+    assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want], atol=1e-5) and max(map(len, model.families)) > 2
+
+
+def test_three_hundred_languages(spark):
+    made = made_languages(300, 12)
+    df = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(made)], "doc_id long, text string, lang string").repartition(6)
+    rows = language.training_rows(df)
+    assert len(rows) <= language.MOST_ROWS and len({n for n, _ in rows}) == 300
+    model = language.fit(rows)
+    assert max(map(len, model.families)) <= language.MOST_FAMILY and sum(len(m) for m in model.inside) <= 300 * language.MOST_FAMILY / 2
+    held = [(n, t) for i, (n, t) in enumerate(made) if zlib.crc32(str(i).encode()) % 5 == 0][:300]
+    assert sum(a == n for a, (n, _) in zip(model.predict([t for _, t in held])[0], held)) >= 0.95 * len(held)
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    df = spark.createDataFrame([(1, f"text number {'abc'[i % 3] * i}", "en") for i in range(500)] + [(8, "noch ein Text", "de")], "doc_id long, text string, lang string")
+    rows = language.training_rows(df, per_language=7)
+    assert sorted(n for n, _ in rows) == ["de"] + ["en"] * 7
+
+
+def test_vectors_do_not_depend_on_slices(monkeypatch):
+    texts = ["one two threé fōur " * 50, "a", "ab", " é "]
+    whole = [language.vector(t) for t in texts]
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language, "BYTES_AT_ONCE", size)
+        assert all(np.allclose(language.vector(t), w) for t, w in zip(texts, whole))
 
 
 def test_language_edges(spark, awkward, empty):
