@@ -9,8 +9,9 @@ fitted here by the exact gradient of the conditional likelihood (forward-backwar
 on generated sentences with known spans and many look-alikes (years, prices, versions, times,
 order numbers, numbers failing the checksum); no model file is read.
 
-A text is decoded only around *seeds* (digits, "@", spelled-out "at ... dot"): elsewhere no
-candidate exists, so leaving it out changes nothing.  The program is linear in the tokens, all
+A text is decoded only around *seeds*: four digits or more without a letter between them, "@", and the word "at" with a
+spelled-out or inner dot among the next tokens.  Every candidate holds one and has at most ``MOST_TOKENS`` tokens, and features look ``CUE_TOKENS`` tokens further, so that many tokens around each seed
+give the same spans as the whole text would.  The program is linear in the tokens, all
 of a whole text's seeds are decoded, and memory is linear in one stretch between seedless gaps.
 
 Edge cases: a null text counts as empty; added spans that would touch a base span are dropped;
@@ -35,8 +36,8 @@ from pointloom.llm.common import map_rows
 KINDS = ("email", "ip", "card", "phone")
 #: Longest candidate segment in tokens (the bound of the dynamic program).
 MOST_TOKENS = 16
-#: Characters of context taken on both sides of a seed.
-CONTEXT = 90
+#: Tokens beside a segment that its features look at, at most.
+CUE_TOKENS = 4
 SENTENCES, EPOCHS, RATE, DECAY = 260, 25, 0.35, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the random field -------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s\w]|_|[^\S\n]*\n\s*")
-_SEED = re.compile(r"[0-9@]|[\s\[(](?:at|AT|At)[\s\])][^\n]{1,60}?[\s\[(](?:dot|DOT|Dot)[\s\])]")
+_SEED = re.compile(r"[0-9](?:[^A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u03FF\u0400-\u04FF\u4E00-\u9FFF\n]*[0-9])?|@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
 _CUES = {
     "email": {"mail", "email", "e", "write", "contact", "correo", "courriel", "reply"},
     "ip": {"ip", "host", "server", "address", "node", "from"},
@@ -134,18 +135,20 @@ def segments(k: Tokens) -> list[tuple[int, int]]:
         first = k.text[a]
         if not (first[0] in "0123456789" or first[0].isalpha() or first in "+("):
             continue
-        ats = letters = 0
+        ats = letters = sign = dots = 0
         for b in range(a + 1, min(n, a + MOST_TOKENS) + 1):
             last = k.text[b - 1]
             if "\n" in last or b - a > 1 and k.start[b - 1] - k.end[b - 2] > 1:
                 break
             low = last.lower()
+            sign |= last == "@"
+            dots += bool(ats) and (low in _DOT or k.text[b - 2] == "." and k.start[b - 1] == k.end[b - 2] and k.start[b - 2] == k.end[b - 3])
             ats += last == "@" or low in _AT and b - a > 1
             letters += last[0].isalpha()
             if ats > 1 or letters and not ats and first in "+(":
                 break
             digits = k.digits[b] - k.digits[a]
-            if last[0].isalnum() and (ats and b - a >= 5 and last != "@" and low not in _AT or not letters and digits >= (7 if b - a < 7 or "." not in k.text[a:b] else 4)):
+            if last[0].isalnum() and (ats and (sign or dots) and b - a >= 5 and last != "@" and low not in _AT or not letters and digits >= (7 if b - a < 7 or "." not in k.text[a:b] else 4)):
                 out.append((a, b))
     return out
 
@@ -364,28 +367,80 @@ def train(data: list[tuple[str, list[tuple[int, int, int]]]] | None = None, epoc
     return weights
 
 
+def _tokens_before(text: str, at: int, count: int) -> int:
+    """Start of a token, ``count`` tokens or more before ``at`` (0 where there are fewer)."""
+    step = 8 * count
+    while True:
+        low = max(0, at - step)
+        while 0 < low < len(text) and (text[low - 1].isalnum() and text[low].isalnum() or text[low - 1].isspace() and text[low].isspace()):
+            low -= 1  # not inside a token
+        if low == 0 or sum(1 for _ in _TOKEN.finditer(text, low, at)) >= count:
+            return low
+        step *= 2
+
+
+def _tokens_after(text: str, at: int, count: int) -> int:
+    """End of the token ``count`` tokens after ``at``."""
+    end = at
+    for n, m in enumerate(_TOKEN.finditer(text, at)):
+        if n == count:
+            break
+        end = m.end()
+    return end
+
+
+def _is_seed(text: str, m: re.Match) -> bool:
+    """Whether some candidate can hold this match of ``_SEED``."""
+    if m[0] == "@":
+        return True
+    if m[0][0] in "0123456789":
+        digits = len(m[0]) if m[0].isdigit() else len(_NOT_DIGIT.sub("", m[0]))
+        return digits >= 7 or digits >= 4 and "." in m[0]
+    last, gaps = "", [1, 1]
+    for n, t in enumerate(_TOKEN.finditer(text, m.end())):
+        if n == MOST_TOKENS:
+            break
+        gaps = [gaps[1], t.start() - (m.end() if n == 0 else end)]
+        if t[0].lower() in _DOT or last == "." and gaps == [0, 0]:
+            return True
+        last, end = t[0], t.end()
+    return False
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Parts of a text that hold all candidate segments, and the tokens their features look at."""
+    out: list[list[int]] = []
+    around = MOST_TOKENS + CUE_TOKENS
+    for m in _SEED.finditer(text):
+        if not _is_seed(text, m):
+            continue
+        if out and m.end() <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], _tokens_after(text, m.end(), around))
+            continue
+        low, high = _tokens_before(text, m.start(), around), _tokens_after(text, m.end(), around)
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [(low, high) for low, high in out]
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans of the random field that touch no base span."""
-    stretches: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        low, high = m.start() - CONTEXT, m.end() + CONTEXT
-        if stretches and low <= stretches[-1][1]:
-            stretches[-1][1] = high
+    taken: list[list[int]] = []  # base spans, merged where they overlap
+    for start, _, end in sorted(base):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
         else:
-            stretches.append([low, high])
+            taken.append([start, end])
     out, at = [], 0
-    for low, high in stretches:
-        low, high = max(0, low), min(len(text), high)
-        while low > 0 and text[low - 1].isalnum() and text[low].isalnum() if low < len(text) else False:
-            low -= 1
-        while high < len(text) and text[high - 1].isalnum() and text[high].isalnum():
-            high += 1
+    for low, high in stretches(text):
         k = tokenise(text, low, high)
         for a, kind, b in best_segments(weights, k):
             start, end = k.start[a], k.end[b - 1]
-            while at < len(base) and base[at][2] <= start - 4096:
+            while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if not any(s < end and start < e for s, _, e in base[at:]):
+            if at == len(taken) or taken[at][0] >= end:
                 out.append((start, kind, end))
     return out
 

@@ -88,15 +88,41 @@ def test_field_finds_unseen_sentences(weights):
 
 
 def test_best_segmentation_against_enumeration(weights):
-    for text, _ in pii.sentences(25, seed=77):
+    """Every set of candidate segments that do not overlap, with every kind, is tried."""
+    rnd, tried = random.Random(12), 0
+    texts = ["tel 030 123 4567 x", "jo at ex dot com 12", "10.0.0.1 4111 1111 1111 1111", "mail a b at c dot de", "+1 (212) 555-0187", "call 0123 456 7890 now"]
+    texts += [t[i : i + 24] for t, _ in pii.sentences(60, seed=77) for i in (rnd.randrange(max(1, len(t) - 24)),)]
+    for text in texts:
         k = pii.tokenise(text)
         spans, x = pii._lattice(k)
-        score = (x @ weights.T).max(axis=1) if spans else []
-        best = {0: 0.0}
-        for at in range(1, len(k.text) + 1):
-            best[at] = max([best[at - 1]] + [best[a] + s for (a, b), s in zip(spans, score) if b == at])
-        got = sum(float((x[spans.index((a, b))] @ weights.T)[kind]) for a, kind, b in pii.best_segments(weights, k))
-        assert abs(got - best[len(k.text)]) < 1e-9
+        if not 0 < len(spans) <= 14:
+            continue
+        tried += 1
+        scores = x @ weights.T
+        best = 0.0
+        for chosen in range(1 << len(spans)):
+            mine = [i for i in range(len(spans)) if chosen >> i & 1]
+            if all(spans[i][1] <= spans[j][0] or spans[j][1] <= spans[i][0] for n, i in enumerate(mine) for j in mine[:n]):
+                best = max(best, sum(max(float(s) for s in scores[i]) for i in mine))
+        got = sum(float(scores[spans.index((a, b))][kind]) for a, kind, b in pii.best_segments(weights, k))
+        assert abs(got - best) < 1e-9
+    assert tried >= 8
+
+
+def test_seeds_leave_nothing_out(weights):
+    """The spans of a whole text are those found around its seeds."""
+    rnd, made = random.Random(7), pii.sentences(400, seed=99)
+    for i in range(0, len(made), 5):
+        text = "".join(t + rnd.choice([" ", "\n", ". ", " at ", " x.y ", " (at) b dot c ", "  ", " filler words go here and on and on, " * 5]) for t, _ in made[i : i + 5])
+        k, base = pii.tokenise(text), pii.base_spans(text)
+        want = [(k.start[a], kind, k.end[b - 1]) for a, kind, b in pii.best_segments(weights, k)]
+        assert pii.added_spans(text, base, weights) == [w for w in want if not any(s < w[2] and w[0] < e for s, _, e in base)]
+
+
+@pytest.mark.parametrize("filler", ["e" * 40, "e" * 100, "e" * 5000])
+def test_long_words_between_at_and_dot(weights, filler):
+    text = f"so jo at <{filler}> dot com"
+    assert [text[a:b] for a, _, b in pii.added_spans(text, [], weights)] == [f"jo at <{filler}> dot com"]
 
 
 def test_gradient_is_that_of_the_likelihood(weights):
