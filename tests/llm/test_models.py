@@ -172,8 +172,8 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 
 def test_extraction_leaves_the_rest_out():
     want = "Title & more\nFirst with a link and bold.\nSecond para line <b>.\none\ntwo"
-    assert html_text.extract(PAGE, "body>div#main-#>article.post-#") == want
-    assert html_text.best_path(PAGE)[0][0] == "body>div#main-#>article.post-#"
+    assert html_text.extract(PAGE, html_text.votes(PAGE)[0][0]) == html_text.extract(PAGE) == want
+    assert html_text.votes(PAGE)[0][2] == "body>div#main-#>article.post-#"
 
 
 def test_wrapper_with_an_unlucky_name():
