@@ -3,14 +3,15 @@
 Base kinds are exact patterns (assign, access, hex).  The method adds the kind ``markov``: every
 token of ``LEAST_TOKEN`` or more base64-like characters is scored under two character Markov
 chains, one of random strings and one of ordinary identifiers, and counts as a secret if the
-log-likelihood ratio is at least ``LEAST_RATIO`` in all and ``LEAST_MEAN`` a character.
+log-likelihood ratio is at least ``LEAST_RATIO`` in all and ``LEAST_MEAN`` a character (``LEAST_MEAN_ONE_CASE`` where it has
+no digit and its letters are in one case).
 
 Training.  Labelled samples (text, label) give transition counts over ``ALPHABET`` plus an edge
 symbol, summed by Spark and smoothed; at most (alphabet + 1) squared sums reach the driver and
 return as one array constant.  By default the random strings are generated (digests as hex,
-base64 and base32-like text, ``RANDOM_STRINGS`` of them) and the identifiers are the words, and
-joined pairs of words, of ``TRAINING_DOCUMENTS`` documents, those of smallest hash of the id: the
-documented bound of the labelled sample.  Everything else covers all rows and whole texts.
+base64 and base32-like text, keys of letters in one case, ``RANDOM_STRINGS`` of them).  Ordinary strings are the words, and
+joined pairs of words, of ``TRAINING_DOCUMENTS`` rows of the documents, those of smallest hash of the id (the
+documented bound of the labelled sample), and as many generated numbers and rulers.  The models alone decide on a token; everything else covers all rows and whole texts.
 
 Positions come from the text between matches: a match starts where the texts and matches before
 it end.  The running sums go block by block, so a text with many matches costs n * sqrt(n)
@@ -42,6 +43,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 LEAST_TOKEN = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_RATIO, LEAST_MEAN = 12.0, 0.6
+#: The least mean of tokens of letters in one case: words of a language that the training rows lack stand apart from the words learned as well.
+LEAST_MEAN_ONE_CASE = 2.4
 RANDOM_STRINGS, TRAINING_DOCUMENTS = 3000, 200
 SMOOTHING = 0.5
 
@@ -110,19 +113,32 @@ def random_strings(spark, count: int = RANDOM_STRINGS) -> DataFrame:
     """Generated random strings of several alphabets."""
     seed = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(seed)), r"\s", "")
-    upper = F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", ""))
-    kind = F.pmod("id", F.lit(3))
-    return spark.range(count).select(F.when(kind == 0, F.substring(seed, 1, 40)).when(kind == 1, F.substring(base64, 1, 40)).otherwise(F.substring(upper, 1, 32)).alias("text"))
+    letters = F.regexp_replace(base64, "[^A-Za-z]", "")
+    kinds = [F.substring(seed, 1, 40), F.substring(base64, 1, 40), F.substring(F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", "")), 1, 32), F.lower(F.substring(letters, 1, 32)), F.upper(F.substring(letters, 1, 32))]
+    return spark.range(count).select(F.element_at(F.array(*kinds), F.pmod("id", F.lit(len(kinds))).cast("int") + 1).alias("text"))
+
+
+def numbers_and_rulers(spark, count: int = RANDOM_STRINGS) -> DataFrame:
+    """Generated numbers of up to 40 digits, also grouped, lines of one symbol and stretches of the alphabet: long, but no secrets."""
+    digits = F.regexp_replace(F.sha2(F.concat(F.lit("number "), F.col("id").cast("string")), 512), "[^0-9]", "")
+    number = F.substring(digits, F.lit(1), (4 + F.pmod("id", F.lit(37))).cast("int"))
+    grouped = F.regexp_replace(number, "([0-9]{4})(?=[0-9])", F.concat(F.lit("$1"), F.element_at(F.array(*map(F.lit, "-_/")), (F.pmod("id", F.lit(3)) + 1).cast("int"))))
+    turn = F.floor(F.col("id") / 5)
+    ruler = F.repeat(F.element_at(F.split(F.lit("=-_/+x"), ""), (F.pmod(turn, F.lit(6)) + 1).cast("int")), (4 + F.pmod("id", F.lit(61))).cast("int"))
+    row = F.substring(F.lit(ALPHABET), (1 + F.pmod(turn, F.lit(52))).cast("int"), F.lit(20))
+    kind = F.pmod("id", F.lit(5))
+    return spark.range(count).select(F.when(kind == 0, ruler).when(kind == 1, grouped).when(kind == 2, row).otherwise(number).alias("text"))
 
 
 def identifiers(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """Words and joined pairs of words of a bounded number of documents, as identifiers are written."""
+    """Words and joined pairs of words of a bounded number of rows, as identifiers are written."""
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__loom_id")).distinct()
     few = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__loom_id"), "left_semi")  # at most ``most`` ids
+    few = few.select("doc_id", text_or_empty().alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)  # ids may repeat
     # whole words in one case or capitalised: a key in the training text is no identifier
-    words = F.regexp_extract_all(text_or_empty(), F.lit(r"\b(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})\b"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"\b(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})\b"), F.lit(0))
     w = few.select(words.alias("w")).filter(F.size("w") > 1)
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.array(F.concat_ws("_", F.lower(a), F.lower(b)), F.concat(F.lower(a), F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat_ws("-", a, b), F.concat_ws("/", a, b)))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.array(F.concat_ws("_", F.lower(a), F.lower(b)), F.concat(F.lower(a), F.lower(b)), F.concat(F.lower(a), F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat_ws("-", a, b), F.concat_ws("/", a, b)))
     return w.select(F.explode(F.array_union(F.array_distinct("w"), F.flatten(pairs))).alias("text"))
 
 
@@ -157,8 +173,9 @@ def likelihood_ratio(token: Column, table: Column) -> Column:
 
 
 def training_samples(docs: DataFrame) -> DataFrame:
-    strings = random_strings(docs.sparkSession).withColumn("label", F.lit(1))
-    return strings.unionByName(identifiers(docs).withColumn("label", F.lit(0)))
+    spark = docs.sparkSession
+    ordinary = identifiers(docs).unionByName(numbers_and_rulers(spark))
+    return random_strings(spark).withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
@@ -168,9 +185,8 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     text = F.col("t")
 
     def likely(token: Column) -> Column:
-        # digits alone, or letters alone in one case, are numbers and words whatever their order
-        mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") | token.rlike("[a-z]") & token.rlike("[A-Z]") & token.rlike("^(?![A-Z]?[a-z]+$)")
-        return F.when(mixed, let(likelihood_ratio(token, table), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_MEAN * F.length(token)))).otherwise(False)
+        mean = F.when(token.rlike("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]"), LEAST_MEAN).otherwise(LEAST_MEAN_ONE_CASE)
+        return let(likelihood_ratio(token, table), lambda r: (r >= LEAST_RATIO) & (r >= mean * F.length(token)))
 
     base = F.concat(*[spans(text, pattern, group, least, k) for k, (pattern, group, least) in enumerate(BASE.values())])
     found = row.select("doc_id", base.alias("base"), spans(text, TOKEN, 0, LEAST_TOKEN, len(BASE), likely).alias("more"))
