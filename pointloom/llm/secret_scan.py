@@ -135,8 +135,8 @@ def identifiers(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> DataFrame:
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__loom_id")).distinct()
     few = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__loom_id"), "left_semi")  # at most ``most`` ids
     few = few.select("doc_id", text_or_empty().alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)  # ids may repeat
-    # whole words in one case or capitalised: a key in the training text is no identifier
-    words = F.regexp_extract_all("text", F.lit(r"\b(?:[A-Z]?[a-z]{2,}|[A-Z]{3,})\b"), F.lit(0))
+    # whole words in one case or capitalised, shorter than a token: a key in the training text is no identifier
+    words = F.regexp_extract_all("text", F.lit(rf"\b(?:[A-Z]?[a-z]{{2,{LEAST_TOKEN - 2}}}|[A-Z]{{3,{LEAST_TOKEN - 1}}})\b"), F.lit(0))
     w = few.select(words.alias("w")).filter(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.array(F.concat_ws("_", F.lower(a), F.lower(b)), F.concat(F.lower(a), F.lower(b)), F.concat(F.lower(a), F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat_ws("-", a, b), F.concat_ws("/", a, b)))
     return w.select(F.explode(F.array_union(F.array_distinct("w"), F.flatten(pairs))).alias("text"))

@@ -1,6 +1,7 @@
 """Secrets and personal data: base spans against plain patterns, learned spans on planted strings."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -35,7 +36,7 @@ def test_secret_base_spans(spark, awkward):
 
 
 def test_secret_learned_spans(spark):
-    keys = ["qzxvkjwpfhtmbgdnrsty", "QZXVKJWPFHTMBGDNRSTYL", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "5F4DCC3B5AA765D61D8327DEB882CF99"]
+    keys = ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "5F4DCC3B5AA765D61D8327DEB882CF99"]
     plain = ["=" * 40, "-" * 30, "a" * 20, "counterrevolutionary", "interestingstories", "/user/local/sessions", "getUserAccountBalance", "MAX_CONNECTION_POOL_SIZE", "com/en/article-2024-01-02-title", "1234567890123456", "internationalisation", "user_session_2023_backup"]
     prose = "the quick brown foxes jumped over lazy sleeping dogs while ordinary people were reading several interesting stories about getting user session connection pools and titles of articles "
     docs = spark.createDataFrame([(i, prose + f"see {k} here") for i, k in enumerate(keys + plain)], "doc_id long, text string")
@@ -46,6 +47,17 @@ def test_secret_learned_spans(spark):
     assert all(got[i]["n_markov"] == 0 for i in range(len(keys), len(keys + plain)))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_keys_of_one_case_are_scored(spark):
+    """With words enough to learn from, letters of one case in random order stand out; long words and rulers do not."""
+    samples = secret_scan.training_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    keys = ["qzxvkjwpfhtmbgdnrsty", "QZXVKJWPFHTMBGDNRSTYL", "kqjxzvwmplghtrdsnbcf"]
+    plain = ["internationalization", "counterrevolutionary", "=" * 40, "-" * 30, "a" * 20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "/usr/local/lib/python", "MAX_SHUFFLE_PARTITIONS", "1234567890123456"]
+    docs = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_markov"] for r in secret_scan.scan(docs, samples).collect()}
+    assert [got[i] for i in range(len(keys + plain))] == [1] * len(keys) + [0] * len(plain)
+
+
 def test_secret_edge_tables(empty, awkward):
     assert secret_scan.scan(empty).count() == 0
     assert secret_scan.scan(awkward).count() == awkward.count()
