@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The folder all machines share (``spark.checkpoint.dir``); a local one where that is unset and there is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
