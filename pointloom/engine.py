@@ -40,7 +40,7 @@ class PointEngine:
 
     @property
     def points(self) -> DataFrame:
-        return self.index.layout.select("id", "name", "x", "y")
+        return self.index.rows()
 
     def range_query(self, area: Sequence[Sequence[float]]) -> DataFrame:
         return self.index.range_query(area)

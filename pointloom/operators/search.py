@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
+from pointloom.plans.storage import number_rows
 
 #: Cells per dimension of the grid that batched range queries join on.
 GRID = 64
@@ -47,28 +48,48 @@ def mindist_to_origin(rectangles: DataFrame, low: Sequence[str] = ("x_min", "y_m
     return rectangles.withColumn("mindist", G.mindist([F.col(c) for c in low], [F.col(c) for c in high], [0.0] * len(low)))
 
 
+def by_mindist(rectangles: DataFrame, at: Sequence[float], id: str = "node_id", low: Sequence[str] = ("x_min", "y_min"), high: Sequence[str] = ("x_max", "y_max")) -> DataFrame:
+    """``rectangles`` with ``mindist`` to a point and their place in its order (from 0; equal distances by id), without one task sorting all."""
+    near = rectangles.withColumn("mindist", G.mindist([F.col(c) for c in low], [F.col(c) for c in high], at))
+    return number_rows(near, ["mindist", id], "place")
+
+
+def borders(rows: DataFrame, values: Sequence[F.Column], grid: int = GRID) -> list[list[float]]:
+    """Inner borders of at most ``grid`` cells of equal content for each value, by one aggregation (``grid`` numbers a value)."""
+    shares = [i / grid for i in range(1, grid)]
+    got = rows.agg(*[F.percentile_approx(v, shares, 20 * grid).alias(f"b{i}") for i, v in enumerate(values)]).first()
+    return [sorted(set(b or [])) for b in got]
+
+
+def cell(value: F.Column, inner: Sequence[float]) -> F.Column:
+    """Number of borders up to ``value``: a search tree of comparisons."""
+
+    def find(a: int, b: int) -> F.Column:
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        return F.when(value < inner[mid], find(a, mid)).otherwise(find(mid + 1, b))
+
+    return find(0, len(inner))
+
+
 def range_join(points: DataFrame, areas: DataFrame, grid: int = GRID) -> DataFrame:
     """Points inside each area (area_id, x_min, x_max, y_min, y_max): area_id with the point's columns.
 
-    A grid over the areas' extent turns the rectangle test into an equality: an area lists the cells it
-    touches (at most ``grid`` squared), a point lies in one cell, so no pair appears twice.  Points
-    outside the extent are dropped before the join.
+    A grid turns the rectangle test into an equality: an area lists the cells it
+    touches (at most ``grid`` squared), a point lies in one cell, so no pair appears twice.  Borders are quantiles of the
+    points in the areas' extent, so clustered points spread over many cells; the others are dropped before the join.
     """
     box = areas.agg(F.min("x_min").alias("x0"), F.max("x_max").alias("x1"), F.min("y_min").alias("y0"), F.max("y_max").alias("y1")).first()
     if box["x0"] is None:
         return points.select(F.lit(None).cast("long").alias("area_id"), "*").limit(0)
-
-    def cell(value: F.Column, low: float, high: float) -> F.Column:
-        step = (high - low) / grid
-        return F.lit(0) if step <= 0 else F.least(F.greatest(F.floor((value - low) / step), F.lit(0)), F.lit(grid - 1)).cast("int")
-
-    def span(axis: str, low: float, high: float) -> F.Column:
-        return F.explode(F.sequence(cell(F.col(f"{axis}_min"), low, high), cell(F.col(f"{axis}_max"), low, high)))
-
-    proper = areas.select("area_id", "x_min", "x_max", "y_min", "y_max").filter("x_min <= x_max and y_min <= y_max")
-    cells = proper.select("*", span("x", box["x0"], box["x1"]).alias("__cx")).select("*", span("y", box["y0"], box["y1"]).alias("__cy"))
     inside = points.filter(G.contains([box["x0"], box["y0"]], [box["x1"], box["y1"]], [F.col("x"), F.col("y")]))
-    celled = inside.withColumn("__cx", cell(F.col("x"), box["x0"], box["x1"])).withColumn("__cy", cell(F.col("y"), box["y0"], box["y1"]))
+    inner = dict(zip("xy", borders(inside, [F.col("x"), F.col("y")], grid)))
+    cells = areas.select("area_id", "x_min", "x_max", "y_min", "y_max").filter("x_min <= x_max and y_min <= y_max")
+    celled = inside
+    for axis in "xy":
+        cells = cells.select("*", F.explode(F.sequence(cell(F.col(f"{axis}_min"), inner[axis]), cell(F.col(f"{axis}_max"), inner[axis]))).alias(f"__c{axis}"))
+        celled = celled.withColumn(f"__c{axis}", cell(F.col(axis), inner[axis]))
     joined = celled.join(cells, ["__cx", "__cy"])
     return joined.filter(G.contains([F.col("x_min"), F.col("y_min")], [F.col("x_max"), F.col("y_max")], [F.col("x"), F.col("y")])).select("area_id", *points.columns)
 

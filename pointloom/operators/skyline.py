@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import pointloom
 from pointloom.functions import geometry as G
+from pointloom.plans.storage import materialise
 
 cloudpickle.register_pickle_by_value(pointloom)
 
@@ -27,9 +28,9 @@ MERGE = 8
 def skyline_2d(points: DataFrame, strips: int = STRIPS, by: Sequence[str] = ()) -> DataFrame:
     """``by``, id, x, y of the skyline in two dimensions, one per group of ``by``, by built-in aggregation only.
 
-    Each x keeps its least y (map-side).  Points are then cut into strips of x; a point stays if its y is
-    below the least of all strips before and of smaller x in its own.  The table of strip minima has at most
-    ``strips`` rows a group, and a strip is sorted by itself, so no task sorts all points of a group.
+    Each x keeps its least y (map-side).  Equal strips of x drop what lies above the least of all strips before (a table of at most
+    ``strips`` rows a group).  What is left is dealt by ranges of equal size, so however the points are spread no task
+    sorts all of a group, and stays if its y is below the least of all of smaller x.
     """
     by = list(by)
     best = points.groupBy(*by, "x").agg(F.min(F.struct("y", "id")).alias("b")).select(*by, "x", F.col("b.y").alias("y"), F.col("b.id").alias("id"))
@@ -37,19 +38,23 @@ def skyline_2d(points: DataFrame, strips: int = STRIPS, by: Sequence[str] = ())
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
     strip = F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) / width * strips), F.lit(strips - 1)), F.lit(0)).cast("int")
     cut = best.join(F.broadcast(extent)).select(*by, "x", "y", "id", strip.alias("s"))  # one row
-    minima = cut.groupBy(*by, "s").agg(F.min("y").alias("m"))
-    before = minima.select(*by, "s", F.min("m").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
-    if by:
-        keyed = [F.col(c).alias(f"__{c}") for c in by]
-        same = [cut[c].eqNullSafe(F.col(f"__{c}")) for c in by] + [cut["s"] == F.col("__s")]
-        alive = cut.join(before.select(*keyed, F.col("s").alias("__s"), "above"), same).select(*by, cut["x"], cut["y"], cut["id"], cut["s"], "above")
-    else:
-        alive = cut.join(F.broadcast(before), "s")  # at most ``strips`` rows
-    alive = alive.filter("above is null or y < above")
+    above = least_before(cut, by, "s", F.min("y"), "above").filter("above is null or y < above").drop("above", "s")
+    ranges = materialise(above.repartitionByRange(*by, "x").withColumn("s", F.spark_partition_id()), "skyline-ranges")
+    alive = least_before(ranges, by, "s", F.min("y"), "above").filter("above is null or y < above")
     own = F.min("y").over(Window.partitionBy(*by, "s").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
     return alive.withColumn("own", own).filter("own is null or y < own").select(*by, "id", "x", "y")
 
 
+def least_before(rows: DataFrame, by: Sequence[str], part: str, least: F.Column, name: str) -> DataFrame:
+    """``rows`` with the least of what the parts before theirs hold, per group; one row per part and group is joined (broadcast where parts alone bound them)."""
+    keys = [F.col(c).alias(f"__{c}") for c in (*by, part)]
+    minima = rows.groupBy(*by, part).agg(least.alias("__m")).select(*keys, "__m")
+    before = F.min("__m").over(Window.partitionBy(*[f"__{c}" for c in by]).orderBy(f"__{part}").rowsBetween(Window.unboundedPreceding, -1))
+    table = minima.select(*[f"__{c}" for c in (*by, part)], before.alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, part)]
+    return rows.join(table if by else F.broadcast(table), same).drop(*[f"__{c}" for c in (*by, part)])
+
+
 def _local(d: int):
     """Skyline of one partition: batches are added to the survivors so far."""
 
@@ -96,6 +101,24 @@ def skyline(points: DataFrame, coordinates: Sequence[str], id: str = "id") -> Da
 
 
 def dominated_by_any(points: DataFrame, others: DataFrame, coordinates: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Points that some row of ``others`` dominates; only the skyline of ``others`` is compared."""
-    edge = skyline(others, coordinates).select(*[F.col(c).alias(f"__{c}") for c in coordinates])
-    return points.join(edge, G.dominates([F.col(f"__{c}") for c in coordinates], [F.col(c) for c in coordinates]), "left_semi")
+    """Points that some row of ``others`` dominates; only the skyline of ``others`` is compared.
+
+    In two dimensions the skyline is a staircase: along x, the last step before a point is the lowest, and it alone decides.
+    Points and steps are dealt by ranges of x together; no pair is formed.  In more dimensions points are compared with the whole skyline.
+    """
+    if len(coordinates) != 2:
+        edge = skyline(others, coordinates).select(*[F.col(c).alias(f"__{c}") for c in coordinates])
+        return points.join(edge, G.dominates([F.col(f"__{c}") for c in coordinates], [F.col(c) for c in coordinates]), "left_semi")
+    x, y = coordinates
+    steps = skyline_2d(others.select("id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    sound = points.select(F.struct("*").alias("__row"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    none = F.lit(None).cast(sound.schema["__row"].dataType)
+    both = sound.withColumn("__step", F.lit(1)).unionByName(steps.select(none.alias("__row"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.lit(0).alias("__step")))
+    # steps stand before points of the same x
+    dealt = materialise(both.repartitionByRange("__x", "__step").withColumn("__part", F.spark_partition_id()), "staircase")
+    step = F.when(F.col("__step") == 0, F.struct("__y", "__x"))
+    told = least_before(dealt, (), "__part", F.min(step), "__above")
+    own = F.min(step).over(Window.partitionBy("__part").orderBy("__x", "__step").rowsBetween(Window.unboundedPreceding, 0))
+    low = told.withColumn("__low", F.least(own, F.col("__above"))).filter("__step = 1")
+    under = (F.col("__low.__y") < F.col("__y")) | (F.col("__low.__y") == F.col("__y")) & (F.col("__low.__x") < F.col("__x"))
+    return low.filter(under).select("__row.*")

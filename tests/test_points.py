@@ -304,3 +304,124 @@ def test_stream_append(spark, tmp_path):
     for _ in range(2):
         ingest.append(ingest.watch(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "log"), once=True).awaitTermination()
     assert ids(P.read(spark, str(tmp_path / "out"))) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_delta_changes_no_answer(spark):
+    rows = scattered(900, seed=5)
+    index = PointIndex.build(table(spark, rows), most=20, fill=0.85)
+    new = [(5000 + i, x + 0.5, y) for i, x, y in scattered(20, seed=6)] + [(3, rows[3][1], rows[3][2])]
+    gone = rows[:15] + [(800, 0.0, 0.0)]
+    changed, went = index.insert(table(spark, new)).delete(table(spark, gone).select("id", "x", "y"))
+    assert went == 16 and changed.layout is index.layout and changed.n_added == 20 and changed.n_gone == 15  # the packed part stands as it is
+    left = table(spark, rows[15:] + new[:20])
+    assert changed.count() == left.count() and ids(changed.rows()) == ids(left)
+    for area in (((-50, 20), (-100, 90)), ((-90, 90), (-180, 180)), ((500, 501), (0, 1))):
+        assert ids(changed.range_query(area)) == ids(search.range_query(left, area))
+    for at in ((rows[0][1], rows[0][2]), (90, 180), (0, 0)):
+        assert [r["id"] for r in changed.knn(at, 17).collect()] == [r["id"] for r in search.knn(left, at, 17).collect()]
+    assert ids(changed.skyline()) == ids(skyline.skyline_2d(left))
+    queries = spark.createDataFrame([(1, rows[0][1], rows[0][2]), (2, 40.0, 40.0)], "qid long, qx double, qy double")
+    pairs = lambda i: sorted((r["qid"], r["rank"], r["id"]) for r in i.knn_join(queries, 6).collect())
+    packed = changed.compact()
+    assert pairs(changed) == pairs(packed) == pairs(index.delete(table(spark, gone).select("id", "x", "y"))[0].insert(table(spark, new[:20])))
+    assert packed.n_added == packed.n_gone == 0 and ids(packed.layout) == ids(left)
+    # a point put back is there, and can be taken out again
+    back = changed.insert(table(spark, rows[:1]))
+    assert back.count() == changed.count() + 1 and back.delete(table(spark, rows[:1]))[1] == 1
+    # past the share of changes the index is packed anew
+    many = index.insert(table(spark, scattered(100, seed=7)))
+    assert many.n_added == 0 and many.points == 1000
+
+
+def test_changed_index_is_saved_whole(spark, tmp_path):
+    rows = scattered(300, seed=8)
+    index, _ = PointIndex.build(table(spark, rows), most=20, fill=0.85).insert(table(spark, [(999, 1, 1)])).delete(table(spark, rows[:2]))
+    index.save(str(tmp_path / "index"))
+    assert ids(PointIndex.load(spark, str(tmp_path / "index")).layout) == sorted([r[0] for r in rows[2:]] + [999])
+
+
+def test_subtree_choice_is_bounded_by_the_fan_out(spark):
+    nodes = spark.range(6).selectExpr("id node_id", "id * 10.0 x_min", "id * 10.0 + 5 x_max", "0.0D y_min", "1.0D y_max")
+    got = maintenance.choose_subtree(table(spark, [(1, 21, 0), (2, 57, 1)]), nodes)
+    assert sorted((r["id"], r["node_id"]) for r in got.collect()) == [(1, 2), (2, 5)] and "NestedLoop" not in got._jdf.queryExecution().toString().replace("BroadcastNestedLoopJoin BuildRight, Inner", "")
+    with pytest.raises(ValueError):
+        maintenance.choose_subtree(table(spark, [(1, 21, 0)]), nodes, fan_out=5)
+
+
+def test_leaf_choice_descends_by_least_growth(spark, indexed):
+    _, index = indexed
+    nodes = [r.asDict() for r in index.nodes.collect()]
+    points = scattered(40, seed=9)
+
+    def growth(n, x, y):
+        return (max(n["x_max"], x) - min(n["x_min"], x)) * (max(n["y_max"], y) - min(n["y_min"], y)) - (n["x_max"] - n["x_min"]) * (n["y_max"] - n["y_min"])
+
+    want = {}
+    for i, x, y in points:
+        at = 0
+        for level in range(index.height - 2, -1, -1):
+            at = min((growth(n, x, y), n["node_id"]) for n in nodes if n["level"] == level and n["parent_id"] == at)[1]
+        want[i] = at
+    assert {r["id"]: r["node_id"] for r in index.choose_leaves(table(spark, points)).collect()} == want
+
+
+@pytest.mark.parametrize("spread", ["even", "ties", "skewed"])
+def test_dominated_points_and_skylines_however_points_are_spread(spark, spread):
+    rows = scattered(400, seed=11, ties=spread == "ties")
+    if spread == "skewed":  # all but one in a hair's breadth of x
+        rows = [(i, x * 1e-9, y) for i, x, y in rows] + [(900, 1e9, -500.0)]
+    others = [(i, x + 3, y + 2) for i, x, y in rows[:50]]
+    beats = lambda o, p: o[1] <= p[1] and o[2] <= p[2] and (o[1] < p[1] or o[2] < p[2])
+    assert ids(skyline.dominated_by_any(table(spark, rows), table(spark, others))) == [p[0] for p in rows if any(beats(o, p) for o in others)]
+    edge = [p for p in rows if not any(beats(o, p) for o in rows)]
+    assert ids(skyline.skyline_2d(table(spark, rows))) == sorted(min(q[0] for q in edge if q[1:] == p[1:]) for p in {e[1:]: e for e in edge}.values())
+
+
+def test_clustered_points_spread_over_cells(spark):
+    rnd = random.Random(13)
+    rows = [(i, rnd.gauss(0, 1e-6), rnd.gauss(0, 1e-6)) for i in range(1500)] + [(9000, 80.0, 170.0)]
+    points = table(spark, rows)
+    areas = spark.createDataFrame([(1, -1e-6, 1e-6, -1e-6, 1e-6), (2, -90.0, 90.0, -180.0, 180.0), (3, 5.0, 4.0, 0.0, 1.0)], "area_id long, x_min double, x_max double, y_min double, y_max double")
+    got = sorted((r["area_id"], r["id"]) for r in search.range_join(points, areas).collect())
+    box = {1: (-1e-6, 1e-6, -1e-6, 1e-6), 2: (-90, 90, -180, 180)}
+    assert got == sorted((a, i) for a, (p, q, u, v) in box.items() for i, x, y in rows if p <= x <= q and u <= y <= v)
+    inner = search.borders(points, [F.col("x")], 16)[0]
+    cells = points.groupBy(search.cell(F.col("x"), inner).alias("c")).count().collect()
+    assert len(cells) >= 12 and max(r["count"] for r in cells) < 300
+
+
+def test_entry_without_the_text_operators(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__ as entry
+
+    plain = builtins.__import__
+
+    def no_text(name, *args, **kwargs):
+        if name.startswith(("pointloom.llm", "corpus_pipeline")):
+            raise ImportError(name)
+        return plain(name, *args, **kwargs)
+
+    from pointloom.plans import registry
+
+    monkeypatch.setattr(builtins, "__import__", no_text)
+    importlib.reload(entry)
+    assert entry.queries() == registry.QUERIES and entry.oracle_sql() == registry.ORACLES
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from pointloom.plans.storage import shared_dir
+
+    class Conf:
+        def __init__(self, **held):
+            self.held = held
+
+        def get(self, key, default=None):
+            return self.held.get(key.rsplit(".", 1)[-1], default)
+
+    class Session:
+        conf = Conf(master="yarn")
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
