@@ -1,6 +1,6 @@
 """Nodes of OpenStreetMap PBF files.
 
-A file is a sequence of length-prefixed blobs.  Files are read as rows (``binaryFile``), cut into
+A file is a sequence of length-prefixed blobs (one file is one row, so 2 GB at most: larger extracts are to be split).  Files are read as rows (``binaryFile``), cut into
 blobs by one pass over their headers, dealt out again, and each blob is inflated and decoded on
 its own, so one large file keeps many tasks busy.  Decoding follows the published format: primitive
 blocks with granularity and offsets, plain and dense (delta-coded) nodes; other elements are skipped.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -58,12 +59,16 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-def packed(data: bytes) -> list[int]:
-    out, at = [], 0
-    while at < len(data):
-        value, at = varint(data, at)
-        out.append(signed(value))
-    return out
+def packed(data: bytes) -> np.ndarray:
+    """The zigzag-coded values of a packed field, all at once: seven bits of each by turns."""
+    octets = np.frombuffer(data, np.uint8)
+    last = np.nonzero(octets < 128)[0]
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    size, values = last - first + 1, np.zeros(len(last), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        long = np.nonzero(size > k)[0]
+        values[long] |= (octets[first[long] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return (values >> np.uint64(1)).astype(np.int64) ^ -(values & np.uint64(1)).astype(np.int64)
 
 
 def blobs(data: bytes) -> Iterator[bytes]:
@@ -87,27 +92,23 @@ def inflate(blob: bytes) -> bytes:
     raise ValueError("blob compression is neither none nor zlib")
 
 
-def block_nodes(block: bytes) -> Iterator[tuple[int, float, float]]:
-    """(id, latitude, longitude) of the nodes of a primitive block."""
+def block_nodes(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, latitude, longitude) of the nodes of a primitive block, as arrays."""
     got = list(fields(block))
     scalar = {n: v for n, v in got if isinstance(v, int)}
     grain, lat0, lon0 = scalar.get(17, 100), scalar.get(19, 0), scalar.get(20, 0)
     lat0, lon0 = (v - (1 << 64) if v >> 63 else v for v in (lat0, lon0))
-
-    def degrees(offset: int, value: int) -> float:
-        return (offset + grain * value) / 1e9
-
+    parts = [np.zeros((3, 0), np.int64)]
     for group in (v for n, v in got if n == 2):
         for number, value in fields(group):
             if number == 1:
                 node = dict(fields(value))
-                yield signed(node[1]), degrees(lat0, signed(node[8])), degrees(lon0, signed(node[9]))
+                parts.append(np.array([[signed(node[1])], [signed(node[8])], [signed(node[9])]], np.int64))
             elif number == 2:
                 dense = dict(fields(value))
-                id = lat = lon = 0
-                for a, b, c in zip(packed(dense[1]), packed(dense[8]), packed(dense[9])):
-                    id, lat, lon = id + a, lat + b, lon + c
-                    yield id, degrees(lat0, lat), degrees(lon0, lon)
+                parts.append(np.stack([np.cumsum(packed(dense.get(n, b""))) for n in (1, 8, 9)]))
+    id, lat, lon = np.concatenate(parts, axis=1)
+    return id, (lat0 + grain * lat) / 1e9, (lon0 + grain * lon) / 1e9
 
 
 def nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -122,10 +123,9 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
-                rows = list(block_nodes(inflate(blob.as_py())))
-                for at in range(0, len(rows), ROWS):
-                    part = rows[at : at + ROWS]
-                    yield pa.record_batch([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["id", "lat", "lon"])
+                columns = block_nodes(inflate(blob.as_py()))
+                for at in range(0, len(columns[0]), ROWS):
+                    yield pa.record_batch([pa.array(c[at : at + ROWS]) for c in columns], names=["id", "lat", "lon"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(cut, "blob binary").repartition(spark.sparkContext.defaultParallelism).mapInArrow(decode, "id long, lat double, lon double")

@@ -425,3 +425,16 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Session)
+
+
+def test_packed_numbers():
+    def coded(v):
+        v, out = (v << 1 ^ v >> 63) & (1 << 64) - 1, b""
+        while v >= 128:
+            out, v = out + bytes([v & 127 | 128]), v >> 7
+        return out + bytes([v])
+
+    rnd = random.Random(14)
+    for n in (0, 1, 500):
+        values = [rnd.choice((0, -1, 1, rnd.randint(-(1 << 62), 1 << 62), rnd.randint(-300, 300), -(1 << 63), (1 << 63) - 1)) for _ in range(n)]
+        assert pbf.packed(b"".join(map(coded, values))).tolist() == values
