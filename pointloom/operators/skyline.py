@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(pointloom)
 STRIPS = 1024
 #: Partitions merged into one in each step of the general form.
 MERGE = 8
+#: Parts that the groups of the general form are merged in, step by step: a large group is no single task's until it is small.
+SALTS = (64, 8, 1)
 
 
 def skyline_2d(points: DataFrame, strips: int = STRIPS, by: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +83,28 @@ def _local(d: int):
     return run
 
 
-def skyline(points: DataFrame, coordinates: Sequence[str], id: str = "id") -> DataFrame:
-    """id and coordinates of the skyline in any number of dimensions.
+def _local_by_group(d: int):
+    """As ``_local`` for rows of several groups, the group's name first."""
+    reduce = _local(d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, pa.RecordBatch] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            cuts = np.searchsorted(codes[order], np.arange(len(names.dictionary) + 1))
+            for name, a, b in zip(names.dictionary.to_pylist(), cuts[:-1], cuts[1:]):
+                rows = pa.record_batch(batch.columns[1:], names=batch.schema.names[1:]).take(pa.array(order[a:b]))
+                held[name] = next(reduce(iter([held[name], rows] if name in held else [rows])))
+        for name, rows in held.items():
+            yield pa.record_batch([pa.array([name] * rows.num_rows, pa.string()), *rows.columns], names=["g", *rows.schema.names])
+
+    return run
+
+
+def skyline(points: DataFrame, coordinates: Sequence[str], id: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """``by``, id and coordinates of the skyline in any number of dimensions, one per group of ``by``.
 
     Partitions reduce to their own skylines (a point is compared with survivors only), which merge
     ``MERGE`` at a time until one is left: the skyline of a union is that of its parts' skylines.
@@ -90,8 +112,16 @@ def skyline(points: DataFrame, coordinates: Sequence[str], id: str = "id") -> Da
     d = len(coordinates)
     names = [f"c{i}" for i in range(d)]
     # the row order of sums is exact only if equal rows are one: coordinates are made distinct first
-    distinct = points.groupBy(*[F.col(c).cast("double").alias(n) for c, n in zip(coordinates, names)]).agg(F.min(F.col(id).cast("long")).alias("id")).select("id", *names)
     schema = "id long, " + ", ".join(f"{n} double" for n in names)
+    if by:
+        group = F.to_json(F.struct(*by))
+        distinct = points.groupBy(group.alias("g"), *[F.col(c).cast("double").alias(n) for c, n in zip(coordinates, names)]).agg(F.min(F.col(id).cast("long")).alias("id")).select("g", "id", *names)
+        out = distinct.mapInArrow(_local_by_group(d), f"g string, {schema}")
+        for salts in SALTS:
+            out = out.repartition(F.col("g"), F.pmod(F.xxhash64("id"), F.lit(salts))).mapInArrow(_local_by_group(d), f"g string, {schema}")
+        told = F.from_json("g", points.select(*by).schema)
+        return out.select(*[told[c].alias(c) for c in by], "id", *[F.col(n).alias(c) for n, c in zip(names, coordinates)])
+    distinct = points.groupBy(*[F.col(c).cast("double").alias(n) for c, n in zip(coordinates, names)]).agg(F.min(F.col(id).cast("long")).alias("id")).select("id", *names)
     out = distinct.mapInArrow(_local(d), schema)
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while parts > 1:

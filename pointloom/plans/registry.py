@@ -141,6 +141,11 @@ def skyline_per_group(spark, sf_dir):
     return skyline.skyline_2d(order_points(spark, sf_dir), by=("name",))
 
 
+def skyline_3d_per_group(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
+    return skyline.skyline(rows, ("l_quantity", "l_extendedprice", "l_discount"), by=("l_returnflag",))
+
+
 def knn_vectors(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     near = search.knn_vectors(vectors, "embedding", [0.05 * (i % 7) - 0.1 for i in range(64)], 12)
@@ -391,7 +396,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         range_query, range_query_part, range_query_indexed, range_join, point_lookup, exact_match, knn, knn_ties, knn_indexed, knn_join, skyline_2d, skyline_indexed,
-        skyline_3d, skyline_per_group, knn_vectors, underfull_leaves, rebuilt_after_delete, dominated_points, mindist_origin, node_rectangles, root_rectangle, page_layout, page_fetch, page_statistics, z_value, z_scaled, leaf_layout,
+        skyline_3d, skyline_per_group, skyline_3d_per_group, knn_vectors, underfull_leaves, rebuilt_after_delete, dominated_points, mindist_origin, node_rectangles, root_rectangle, page_layout, page_fetch, page_statistics, z_value, z_scaled, leaf_layout,
         leaf_rectangles, upper_rectangles, level_statistics, tail_rebalance, node_intersections, choose_subtree, split_choice, split_sides, forced_reinsert,
         insert_points, delete_points, deleted_points, name_labels, stored_names, rectangle_measures, osm_nodes, osm_stored, data_file, stream_append,
         stored_index, stored_nodes, stored_catalogue, node_by_id, leaves_by_mindist, split_rectangles, choose_leaves, range_after_changes, knn_after_changes, skyline_after_changes,
@@ -484,6 +489,7 @@ ORACLES = {
     "skyline_2d": f"WITH {_Q}, M AS (SELECT x, y, min(id) AS id FROM Q GROUP BY x, y) SELECT id, x, y FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y))",
     "skyline_indexed": f"WITH {_P}, M AS (SELECT x, y, min(id) AS id FROM P GROUP BY x, y), F AS (SELECT id, x, y, min(y) OVER (ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM M) SELECT id, x, y FROM F WHERE m IS NULL OR y < m",
     "skyline_3d": f"WITH M AS (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_discount AS DOUBLE) AS l_discount, min(CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) AS id FROM lineitem GROUP BY {_3D}) SELECT CAST(id AS BIGINT) AS id, {_3D} FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE b.l_quantity <= a.l_quantity AND b.l_extendedprice <= a.l_extendedprice AND b.l_discount <= a.l_discount AND (b.l_quantity < a.l_quantity OR b.l_extendedprice < a.l_extendedprice OR b.l_discount < a.l_discount))",
+    "skyline_3d_per_group": f"WITH M AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_discount AS DOUBLE) AS l_discount, min(CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) AS id FROM lineitem GROUP BY l_returnflag, {_3D}) SELECT l_returnflag, CAST(id AS BIGINT) AS id, {_3D} FROM M a WHERE NOT EXISTS (SELECT 1 FROM M b WHERE a.l_returnflag = b.l_returnflag AND b.l_quantity <= a.l_quantity AND b.l_extendedprice <= a.l_extendedprice AND b.l_discount <= a.l_discount AND (b.l_quantity < a.l_quantity OR b.l_extendedprice < a.l_extendedprice OR b.l_discount < a.l_discount))",
     "skyline_per_group": f"WITH {_P}, M AS (SELECT name, x, y, min(id) AS id FROM P GROUP BY name, x, y), F AS (SELECT name, id, x, y, min(y) OVER (PARTITION BY name ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM M) SELECT name, id, x, y FROM F WHERE m IS NULL OR y < m",
     "knn_vectors": "WITH U AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS i FROM embeddings), D AS (SELECT id, sqrt(sum((v - (0.05 * (i % 7) - 0.1)) * (v - (0.05 * (i % 7) - 0.1)))) AS dist FROM U GROUP BY id) SELECT id, round(CAST(dist AS DOUBLE), 6) AS dist FROM (SELECT * FROM D ORDER BY dist, id LIMIT 12)",
     "underfull_leaves": f"WITH {_Z}, U AS (SELECT leaf_id AS node_id, count(*) AS n FROM L WHERE name NOT IN {_GONE} GROUP BY leaf_id) SELECT node_id, n FROM U WHERE n < {LEAST}",
