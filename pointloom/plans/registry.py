@@ -201,7 +201,7 @@ def page_fetch(spark, sf_dir):
 
 
 def page_statistics(spark, sf_dir):
-    return P.page_statistics(P.page_layout(part_points(spark, sf_dir), 150))
+    return P.page_statistics(P.page_layout(part_points(spark, sf_dir), 150), 150)
 
 
 def z_value(spark, sf_dir):
@@ -500,7 +500,7 @@ ORACLES = {
     "root_rectangle": f"WITH RECURSIVE {_Z}, T(h, m) AS (SELECT CAST(1 AS INTEGER), count(*) FROM N UNION ALL SELECT h + 1, (m + {CAP} - 1) // {CAP} FROM T WHERE m > 1) SELECT CAST((SELECT count(*) FROM P) AS BIGINT) AS points, count(*) AS num_leaves, (SELECT CAST(max(h) AS INTEGER) FROM T) AS height, min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max FROM N",
     "page_layout": f"WITH {_Q}, R AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM Q) SELECT id, CAST(n // 564 AS BIGINT) AS block_id, CAST(n % 564 AS BIGINT) AS record_id FROM R",
     "page_fetch": f"WITH {_Q}, R AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM Q) SELECT CAST(n // 50 AS BIGINT) AS block_id, CAST(n % 50 AS BIGINT) AS record_id, id, name, x, y FROM R WHERE n IN (7, 50, 149)",
-    "page_statistics": f"WITH {_Q}, R AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 150 AS b FROM Q), G AS (SELECT b, count(*) AS n FROM R GROUP BY b) SELECT count(*) AS pages, CAST(sum(n) AS BIGINT) AS points, max(n) AS fullest, min(n) AS emptiest FROM G",
+    "page_statistics": f"WITH {_Q}, R AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 150 AS b FROM Q), G AS (SELECT b, count(*) AS n FROM R GROUP BY b) SELECT count(*) AS pages, CAST(sum(n) AS BIGINT) AS points, max(n) AS fullest, min(n) AS emptiest, CAST(count(*) * 150 - sum(n) AS BIGINT) AS free, (SELECT max(id) + 1 FROM Q) AS next_id, CAST((SELECT count(*) // 150 FROM Q) AS BIGINT) AS next_block_id, CAST((SELECT count(*) % 150 FROM Q) AS BIGINT) AS next_record_id FROM G",
     "z_value": f"WITH {_Q}, I AS (SELECT id, CAST(trunc(x / 10 * CAST(10000000 AS DOUBLE)) AS BIGINT) AS a, CAST(trunc(y * CAST(10000000 AS DOUBLE)) AS BIGINT) AS b FROM Q) SELECT id, {_morton('a', 'b')} AS z FROM I",
     "z_scaled": f"WITH {_Z} SELECT id, z FROM L",
     "leaf_layout": f"WITH {_Z} SELECT id, leaf_id FROM L",

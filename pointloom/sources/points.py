@@ -64,10 +64,18 @@ def fetch(paged: DataFrame, pointers: DataFrame) -> DataFrame:
     return paged.join(pointers.select("block_id", "record_id"), ["block_id", "record_id"])
 
 
-def page_statistics(paged: DataFrame) -> DataFrame:
-    """One row: pages, points, records of the fullest and emptiest page."""
-    pages = paged.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
-    return pages.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"), F.max("n").alias("fullest"), F.min("n").alias("emptiest"))
+def page_statistics(paged: DataFrame, records: int = PAGE_RECORDS) -> DataFrame:
+    """One row: pages, points, records of the fullest and emptiest page, free places in the pages, the next point id and where its record goes."""
+    pages = paged.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.max("record_id").alias("last"), F.max("id").alias("top"))
+    whole = pages.agg(
+        F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"), F.max("n").alias("fullest"), F.min("n").alias("emptiest"),
+        F.coalesce(F.max("top") + 1, F.lit(0)).alias("next_id"), F.max(F.struct("block_id", "last")).alias("end"),
+    )
+    after = F.coalesce(F.col("end.block_id") * records + F.col("end.last") + 1, F.lit(0).cast("long"))
+    return whole.select(
+        "pages", "points", "fullest", "emptiest", (F.col("pages") * records - F.col("points")).alias("free"), "next_id",
+        F.floor(after / records).cast("long").alias("next_block_id"), F.pmod(after, F.lit(records)).alias("next_record_id"),
+    )
 
 
 def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -132,8 +132,9 @@ def test_number_rows(spark):
 def test_pages(spark):
     paged = P.page_layout(table(spark, scattered(130)), 50)
     assert sorted((r["block_id"], r["record_id"]) for r in paged.collect()) == [(i // 50, i % 50) for i in range(130)]
-    assert tuple(P.page_statistics(paged).first()) == (3, 130, 50, 30)
-    assert tuple(P.page_statistics(P.page_layout(table(spark, []))).first())[:2] == (0, 0)
+    assert tuple(P.page_statistics(paged, 50).first()) == (3, 130, 50, 30, 20, 130, 2, 30)
+    assert tuple(P.page_statistics(P.page_layout(table(spark, scattered(100)), 50), 50).first())[4:] == (0, 100, 2, 0)
+    assert tuple(P.page_statistics(P.page_layout(table(spark, []))).first()) == (0, 0, None, None, 0, 0, 0, 0)
 
 
 @pytest.mark.parametrize("n", [0, 1, 17, 18, 19, 34, 35, 40, 43, 200])
