@@ -74,11 +74,12 @@ _POWERS = np.array([pow(_BASE, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.
 
 def suffix_words(rows: np.ndarray, at: int, which: np.ndarray) -> np.ndarray:
     """The ``LENGTH`` bytes from column ``at`` on of the rows ``which`` as words; the last two may overlap."""
-    full, width = LENGTH // 8, rows.strides[0]
-    words = np.ndarray((len(rows), full), "<u8", rows, at, (width, 8))[which]
+    rows = rows.take(which, axis=0)  # whole rows first: they are copied at once
+    full, n, width = LENGTH // 8, len(rows), rows.strides[0]
+    words = np.empty((n, -(-LENGTH // 8)), np.uint64)
+    words[:, :full] = np.ndarray((n, full), "<u8", rows, at, (width, 8))
     if LENGTH % 8:
-        last = np.ndarray(len(rows), "<u8", rows, at + LENGTH - 8, (width,))[which]
-        words = np.column_stack([words, last])
+        words[:, full] = np.ndarray(n, "<u8", rows, at + LENGTH - 8, (width,))
     return words
 
 
@@ -87,11 +88,13 @@ def common_prefixes(words: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(len(words), np.int16)
     if len(words) > 1:
         apart = words[1:] ^ words[:-1]
-        differs = apart != 0
-        first = differs.argmax(axis=1)
+        out[1:] = length
+        other = np.nonzero(apart.any(axis=1))[0]
+        apart = apart[other]
+        first = (apart != 0).argmax(axis=1)
         x = apart[np.arange(len(first)), first]
         low = np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1  # place of the lowest bit that differs
-        out[1:] = np.where(differs.any(axis=1), np.minimum(8 * first, length - 8) + (low >> 3), length)
+        out[1 + other] = np.minimum(8 * first, length - 8) + (low >> 3)
     return out
 
 
@@ -167,13 +170,14 @@ def repeated_windows(rows: np.ndarray, before: np.ndarray, after: np.ndarray, do
     ``rows``, in order of documents, are surroundings with the anchor in column ``lead``; of a row ``before`` bytes in front of
     the anchor and ``after`` from it on are text.
     """
-    text = padded(rows)
+    text, in_front = padded(rows), np.ascontiguousarray(rows[:, :lead].T)
     order = in_order(rows, lead, LENGTH)
+    fewest, shortest = (int(c.min()) if len(c) else 0 for c in (before, after))
     for offset in range(lead + 1):
         if offset:  # induced: the suffixes one byte longer, by that byte and the order of the rest
-            order = order[before[order] >= offset]
-            order = order[np.argsort(text[order, lead - offset], kind="stable")]
-        whole = order[after[order] >= LENGTH - offset]
+            order = order if fewest >= offset else order[before[order] >= offset]
+            order = order[np.argsort(in_front[lead - offset][order], kind="stable")]
+        whole = order if shortest >= LENGTH - offset else order[after[order] >= LENGTH - offset]
         if len(whole) > 1:
             factor = longest_previous_factors(suffix_words(text, lead - offset, whole), document[whole])
             yield offset, whole[factor >= LENGTH]
