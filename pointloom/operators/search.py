@@ -62,15 +62,8 @@ def borders(rows: DataFrame, values: Sequence[F.Column], grid: int = GRID) -> li
 
 
 def cell(value: F.Column, inner: Sequence[float]) -> F.Column:
-    """Number of borders up to ``value``: a search tree of comparisons."""
-
-    def find(a: int, b: int) -> F.Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(value < inner[mid], find(a, mid)).otherwise(find(mid + 1, b))
-
-    return find(0, len(inner))
+    """Number of borders up to ``value``."""
+    return F.size(F.filter(F.array(*map(F.lit, inner)), lambda b: b <= value)) if inner else F.lit(0)
 
 
 def range_join(points: DataFrame, areas: DataFrame, grid: int = GRID) -> DataFrame:
