@@ -1,8 +1,12 @@
-"""Near copies by Jaccard similarity of five-word shingles, found exactly by prefix filtering.
+"""Near copies by Jaccard similarity of five-word shingles: operator 2 first, prefix filtering for what its radius misses.
 
 Two documents link if their sets of ``WORDS``-word shingles have a Jaccard similarity of 4/5 or more;
 a class is what links connect.  Words are those of ``simhash``: split at ASCII white space, lower case.
 
+Close copies.  Operator 2 (``simhash.near_duplicates``) runs over every document, its fingerprints taken of
+``WORDS``-word shingles.  Neighbours in its classes are verified, and what they connect is settled.  At similarity
+4/5 fingerprints differ in about ten bits, beyond its radius of three; the search below finds the links left.
+
 Candidate search.  Shingles have one global order: those of several documents in a fixed share
 of the input last, by their count there, the others by hash.  A partner of a set of n shingles shares
 at least ceil(4n/5) of them, so two partners share a shingle among the first n - ceil(4n/5) + 1 of
@@ -10,7 +14,7 @@ each.  These prefixes are dealt by shingle; rows of one shingle form a run in or
 a pair stays if its sizes and its places in both prefixes leave room for the similarity.  The
 sample decides only how long runs get, never what is found.
 
-Runs of up to ``SMALL`` rows give all their pairs.  A longer run gives neighbours first; once these are
+Runs of up to ``SMALL`` rows give all their pairs; those that operator 2 has settled are not verified again.  A longer run gives neighbours first; once these are
 verified and connected, it gives a spanning forest and then all pairs of the classes still different whose parity bitmaps differ in no
 more bits than the sets may differ in shingles (a bound that loses nothing).  So a large class of near
 copies costs rows in proportion to its size.  Every pair is verified on the whole sets.
@@ -31,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm import simhash
 from pointloom.llm.common import map_rows, materialise, without_ids
 from pointloom.llm.simhash import SEED, components
 
@@ -169,6 +174,39 @@ def first_pairs(rows: DataFrame, small: int = SMALL) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key", "size", "node").mapInArrow(meet, "a long, b long, key long, size int, pos int")
 
 
+def close_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of neighbours in the classes of operator 2, enough to connect each class."""
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            before = label.copy()  # a task's first row of a class meets the smallest doc_id of the class
+            same = label[1:] == label[:-1]
+            before[1:][same] = node[:-1][same]
+            if last[0] == label[0]:
+                before[0] = last[1]
+            last = (label[-1], node[-1])
+            apart = before != node
+            yield pa.record_batch([pa.array(np.minimum(before, node)[apart]), pa.array(np.maximum(before, node)[apart])], names=["a", "b"])
+
+    found = simhash.near_duplicates(docs.select(F.col("node").alias("doc_id"), "text"), WORDS)
+    order = ["component_id", "fingerprint", "doc_id"]  # a large class is dealt to several tasks
+    rows = materialise(found, "close-classes").repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.select("component_id", "doc_id").mapInArrow(neighbours, "a long, b long").distinct()
+
+
+def unsettled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes."""
+    few = labels.count() <= MOST_BROADCAST
+    for end in ("a", "b"):
+        told = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        pairs = pairs.join(F.broadcast(told) if few else told, end, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, h (the whole set) and bits (its parity bitmap) of the documents in ``nodes``."""
     few = nodes.count() <= MOST_BROADCAST
@@ -246,12 +284,16 @@ def later_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
 def classes(docs: DataFrame, small: int = SMALL, sample: int = SAMPLE) -> DataFrame:
     """(node, label): the smallest doc_id of the class, for every doc_id that links to another."""
     named = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).filter("node is not null")
+    close = materialise(close_pairs(named), "close-pairs")
     found = materialise(first_pairs(prefix_rows(named, frequent_shingles(named, sample)), small), "prefix-pairs")
     pairs = materialise(found.filter("b is not null").select("a", "b").distinct(), "near-pairs")
     long = found.filter("b is null").select(F.col("a").alias("node"), "key", "size", "pos")
-    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct(), "near-nodes")
+    both = close.union(pairs)
+    nodes = materialise(both.select(F.col("a").alias("node")).union(both.select("b")).union(long.select("node")).distinct(), "near-nodes")
     sets = materialise(shingle_sets(named, nodes), "shingle-sets")
-    links = materialise(verified(pairs, sets), "near-links")
+    links = materialise(verified(close, sets), "close-links")
+    labels = components(forest(links))
+    links = materialise(links.union(verified(unsettled(pairs, labels), sets)), "near-links")
     labels = components(forest(links))
     if long.isEmpty():
         return labels

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pointloom.llm import near_copies
+from pointloom.llm import near_copies, simhash
 from test_dedup import components_brute, words
 
 import corpus_pipeline
@@ -52,3 +52,31 @@ def test_stage_drops_near_copies_beyond_three_bits(spark, awkward, empty):
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert {d for d, _ in rows} - left == gone_brute(rows)
     assert near_copies.kept_documents(awkward).columns == awkward.columns and near_copies.kept_documents(empty).count() == 0
+
+
+def test_operator_2_finds_the_close_copies(spark, monkeypatch):
+    """With nothing from prefix filtering, what operator 2 links and similarity confirms goes; what it confirms is not verified twice."""
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(12):
+        tokens = words(rnd, 900).split()
+        for _ in range(6):
+            rows.append((500 - 3 * len(rows), " ".join(tokens)))
+            tokens[rnd.randrange(900)] = words(rnd, 1)
+    rows += [(1000, "a b c d e " * 40), (1001, "a b c d e " * 41 + "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fp = {d: simhash.fingerprint(t, near_copies.WORDS) for d, t in rows}
+    label = components_brute(list(fp), [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS])
+    close = near_copies.close_pairs(df.select(df.doc_id.alias("node"), "text")).collect()
+    assert components_brute(list(fp), [(r["a"], r["b"]) for r in close]) == label
+    want = gone_brute(rows)
+    by_simhash = {d for d in label if label[d] != d} & want
+    assert len(by_simhash) > 20
+    first = near_copies.first_pairs
+    monkeypatch.setattr(near_copies, "first_pairs", lambda r, small: first(r, small).limit(0))
+    assert set(fp) - {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == by_simhash
+    monkeypatch.undo()
+    seen, verified = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: seen.append({(r["a"], r["b"]) for r in pairs.collect()}) or verified(pairs, sets))
+    assert set(fp) - {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == want
+    assert seen[0] == {(r["a"], r["b"]) for r in close} and seen[1] and all(label[a] != label[b] for a, b in seen[1] if {a, b} <= by_simhash | set(label.values()))
